@@ -7,10 +7,15 @@ reported) and reads only the columns it names, so extra columns never clash.
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
+import sys
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +72,20 @@ def content_key(*columns: str):
     return F.xxhash64(*columns)
 
 
+def frugal(run):
+    """``run`` over batches, and what it held given back to the machine: idle Python workers stay small."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            ctypes.CDLL(None).malloc_trim(0)
+
+    return wrapped
+
+
 def fixed(df: DataFrame, **columns) -> DataFrame:
     """``df`` with columns that are computed once a row.
 

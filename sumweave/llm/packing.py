@@ -13,6 +13,8 @@ packed each; rows with a null doc_id are left out; an empty table gives no seque
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,66 +24,112 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, frugal
 
 #: Words whose ids a task keeps at most.
-CACHE = 400_000
+CACHE = 500_000
 #: Words of a text handled at once.
 PART = 100_000
 
 
+#: Latin letters; the vocabulary cuts between them and punctuation.
+_LATIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+")
+
+
+def _merges(tokenizer):
+    """The vocabulary as byte ranks with a zero byte for the word's end; which ids end a word."""
+    import tiktoken
+
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves
+    byte = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in plain)}
+    ranks, last = {b"\0": 1 << 20}, np.zeros(tokenizer.get_vocab_size(), bool)
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        ends = token.endswith("</w>")
+        last[i] = ends
+        ranks.setdefault(bytes(byte[c] for c in token.removesuffix("</w>")) + b"\0" * ends, i)
+    return tiktoken.Encoding("words", pat_str=r"[^\x00]*\x00", mergeable_ranks=ranks, special_tokens={}), last
+
+
 class WordTokenizer:
-    """Ids of a text, word by word with a cache.
+    """Ids of a text (little-endian 32-bit), word by word with a cache.
 
     The vocabulary drops white space and joins nothing across it, so a text's ids are its
-    words' ids; only words with the letters of a special token are left to the whole text.
+    words' ids; only texts with the first letters of a special token are encoded whole.
+    Case is not told apart, and letters and punctuation are separate pieces, so unknown
+    words are looked up without either where they are plain Latin.
     """
 
     def __init__(self, path: str) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def _learn(self, words: list[str]) -> None:
-        if len(self.known) + len(words) > CACHE:
-            self.known.clear()
-        for at in range(0, len(words), 5000):
-            part = words[at : at + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.known[w] = tuple(e.ids)
-
-    def __call__(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        self.letters, self.last = _merges(self.tokenizer)
+        self.known: dict[str, bytes] = {}
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_letters(self, words: list[str]) -> None:
+        """Words of letters in one call: the same merges over bytes, each word ended by a zero byte."""
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            ids = np.array(self.letters.encode_ordinary("\0".join(part) + "\0"), "<u4")
+            data, ends = ids.tobytes(), 4 * (np.flatnonzero(self.last[ids]) + 1)
+            starts = np.concatenate([[0], ends[:-1]])
+            self.known.update(zip(part, (data[s:e] for s, e in zip(starts.tolist(), ends.tolist()))))
+
+    def _learn(self, words: set[str]) -> None:
+        known = self.known
+        if len(known) + 2 * len(words) > CACHE:
+            known.clear()
+        plain, letters, rest = [], set(), set()
+        for w in words:
+            x = w.rstrip(".,!?;:")
+            if x.isalpha() and (x.isascii() or _LATIN.fullmatch(x)):
+                y = w[len(x) :]
+                x = x.lower()
+                plain.append((w, x, y))
+                letters.add(x)
+                rest.add(y)
+            else:
+                rest.add(w)
+        self._learn_letters(list(letters.difference(known)))
+        for w in rest.difference(known):
+            known[w] = self.whole(w)
+        for w, x, y in plain:
+            known[w] = known[x] + known[y] if y else known[x]
+
+    def __call__(self, texts: list[str | None]) -> Iterator[bytes]:
         for text in texts:
             if not text:
-                yield np.zeros(0, np.uint32)
+                yield b""
             elif "<|" in text:
-                yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+                yield self.whole(text)
             else:
                 # only ASCII blanks and line ends part words here: any other white space stays within
                 words = text.replace("\n", " ").split(" ")
-                yield np.concatenate([self._ids(words[at : at + PART]) for at in range(0, len(words), PART)])
+                yield b"".join(self._ids(words[at : at + PART]) for at in range(0, len(words), PART))
 
-    def _ids(self, words: list[str]) -> np.ndarray:
-        known = self.known
+    def _ids(self, words: list[str]) -> bytes:
+        distinct = set(words)
         for _ in range(2):  # a second time if the cache was cleared for the new words
-            new = [w for w in dict.fromkeys(words) if w not in known]
-            if new:
+            if new := distinct.difference(self.known):
                 self._learn(new)
-        return np.array([i for w in words for i in known[w]], np.uint32)
+        return b"".join(map(self.known.__getitem__, words))
 
 
 def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, with_ids: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens (, ids: little-endian 32-bit) of every piece."""
 
     def run(batches):
-        ids_of = WordTokenizer(tokenizer)
+        ids_of, last = WordTokenizer(tokenizer), end.to_bytes(4, "little")
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 rows = []
                 for doc, ids in zip(part.column(0).to_pylist(), ids_of(part.column(1).to_pylist())):
-                    data = np.append(ids, np.uint32(end)).astype("<u4").tobytes()
+                    data = ids + last
                     total = len(data) // 4
                     for start in range(0, total, window):
                         own = data[4 * start : 4 * (start + window)]
@@ -91,7 +139,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, wi
 
     own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    return own.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
+    return own.mapInArrow(frugal(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
 def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:

@@ -408,3 +408,13 @@ def test_sql_agrees(spark, name):
     want, got = con.execute(queries.SQL[name]).df(), queries.QUERIES[name](spark, SF).toPandas()
     key = [got.columns[0]]
     pd.testing.assert_frame_equal(got.sort_values(key)[sorted(got)].reset_index(drop=True), want.sort_values(key)[sorted(want)].reset_index(drop=True), check_dtype=False)
+
+
+def test_word_ids_are_the_tokenizers(spark):
+    rng = np.random.default_rng(4)
+    words = packing.WordTokenizer(queries.tokenizer_path())
+    letters = np.array(list("etaoinshrdlucmfwéàüßÉſñŋĿİ'.,!9́"))
+    own = {"".join(rng.choice(letters, int(n))) for n in rng.integers(1, 12, 4000)} | {"don't", "Hello,", "éa", "İ", "", "..."}
+    words._learn(set(own))
+    for w in own:
+        assert np.frombuffer(words.known[w], "<u4").tolist() == words.tokenizer.encode(w, add_special_tokens=False).ids, w
