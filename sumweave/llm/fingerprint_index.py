@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import PrefixHash, content_key, cut, sliding, word_bounds
+from ._common import content_key, cut, frugal, PrefixHash, sliding, word_bounds
 
 #: Words handled at once; longer texts are taken in overlapping parts.
 PART = 200_000
@@ -83,7 +83,7 @@ def anchors(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str
     return (
         docs.filter(F.col(id_col).isNotNull())
         .select(content_key(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text"))
-        .mapInArrow(run, "fp long, key long, twice boolean")
+        .mapInArrow(frugal(run), "fp long, key long, twice boolean")
     )
 
 
@@ -179,7 +179,7 @@ def remove_repeats(
 
     packed = docs.select("doc_id", content_key("doc_id", "text").alias("key"), F.col("text").cast("binary").alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    packed = packed.mapInArrow(pack, f"doc_id {id_type}, key long, packed binary")
+    packed = packed.mapInArrow(frugal(pack), f"doc_id {id_type}, key long, packed binary")
     met = cut(packed.join(hits, "key", "left"), "texts-with-anchors")
 
     def verify(batches_in):
@@ -204,7 +204,7 @@ def remove_repeats(
 
     def candidates() -> DataFrame:
         held = met.filter(F.col("fps").isNotNull()).select("key", "packed", "fps")
-        return held.mapInArrow(verify, "h long, key long, at int")
+        return held.mapInArrow(frugal(verify), "h long, key long, at int")
 
     twice = candidates().groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
     places = candidates().join(twice, "h").groupBy("key").agg(F.collect_set("at").alias("at"))
@@ -238,5 +238,5 @@ def remove_repeats(
         met.select("doc_id", "key", "packed")
         .join(places, "key", "left")
         .select("doc_id", "packed", "at")
-        .mapInArrow(keep, f"doc_id {id_type}, n_words long, n_removed long, kept string, kept_sha256 string")
+        .mapInArrow(frugal(keep), f"doc_id {id_type}, n_words long, n_removed long, kept string, kept_sha256 string")
     )

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ALNUM_TABLE, PrefixHash, content_key, word_bounds
+from ._common import ALNUM_TABLE, content_key, frugal, PrefixHash, word_bounds
 
 #: Phrases of the contract (fixed values): words and label.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -140,7 +140,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, min_
                     n = sum(map(len, keys))
                     yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, ats, hs)] + [pa.nulls(n, t) for t in types[3:]], names=names)
 
-    rows = own.mapInArrow(run, schema)
+    rows = own.mapInArrow(frugal(run), schema)
     # Template positions: as many rows as the built-in texts have k-grams.
     met = rows.join(F.broadcast(index), "h", "left").filter(F.col("template").isNotNull() | F.col("n_words").isNotNull())
     diagonals = met.groupBy("key", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(
@@ -190,7 +190,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, min_
         "spans",
     )
     judged = flat.mapInPandas(
-        judge,
+        frugal(judge),
         f"doc_id {kind}, n_words long, n_base long, first_word long, last_word long, copies long, base_labels string, "
         "labels string, score double, found array<struct<label:string,start:int,end:int,cover:double>>",
     )

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, word_bounds
+from ._common import cut, frugal, word_bounds
 from .components import components
 
 TILE = 4096
@@ -58,7 +58,7 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
             yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
 
     own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return own.mapInArrow(run, "doc_id long, fp long")
+    return own.mapInArrow(frugal(run), "doc_id long, fp long")
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:
@@ -125,7 +125,7 @@ def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, slices: int = 8
 
     tiles = cut(
         dealt.select("ones", "fp").mapInPandas(
-            cut_tiles, "ones int, tile long, fps binary, low array<int>, high array<int>"
+            frugal(cut_tiles), "ones int, tile long, fps binary, low array<int>, high array<int>"
         ),
         "simhash-tiles",
     )
@@ -162,7 +162,7 @@ def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, slices: int = 8
             if xs:
                 yield pa.record_batch([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["a", "b"])
 
-    return pairs.select("ones_a", "tile_a", "fps_a", "ones", "tile", "fps").mapInArrow(compare, "a long, b long")
+    return pairs.select("ones_a", "tile_a", "fps_a", "ones", "tile", "fps").mapInArrow(frugal(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

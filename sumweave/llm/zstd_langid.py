@@ -25,6 +25,8 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import frugal
+
 UNKNOWN = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
 
@@ -92,4 +94,4 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float
             rejected = [lang == UNKNOWN or s < min_margin for lang, s in found]
             yield pa.record_batch([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*clean, *names])
 
-    return cast.mapInArrow(run, f"{schema}, lang_pred string, score double, rejected boolean").toDF(*keep.columns, *names)
+    return cast.mapInArrow(frugal(run), f"{schema}, lang_pred string, score double, rejected boolean").toDF(*keep.columns, *names)
