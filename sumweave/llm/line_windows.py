@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import content_key, fixed
+from ._common import content_key, cut, fixed
 
 
 def _lines(text):
@@ -49,11 +49,13 @@ def windows(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame
 def remove_later_windows(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, key, n_lines, n_removed, kept (text without the removed lines) of every document."""
     found = windows(docs, size, id_col, text_col)
-    first = (
+    # Written, so that the join has plain exchanges on both sides, whose hot hashes adaptive execution splits.
+    first = cut(
         found.groupBy("h")
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("first"))
         .filter("n > 1")
-        .select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"))
+        .select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at")),
+        "first-windows",
     )
     later = (
         found.join(first, "h")
