@@ -206,7 +206,8 @@ def remove_repeats(
         held = met.filter(F.col("fps").isNotNull()).select("key", "packed", "fps")
         return held.mapInArrow(frugal(verify), "h long, key long, at int")
 
-    twice = candidates().groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    # Written, so that the join has plain exchanges on both sides, whose hot hashes adaptive execution splits.
+    twice = cut(candidates().groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeated-windows")
     places = candidates().join(twice, "h").groupBy("key").agg(F.collect_set("at").alias("at"))
 
     def keep(batches_in):
