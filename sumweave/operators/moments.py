@@ -136,7 +136,8 @@ def percentiles(tree: JoinTree, attributes: list[str], parts: int = 20) -> DataF
     """feature, i, cut: the smallest value whose cumulative count times ``parts`` is at least i * N."""
     out = []
     for a in attributes:
-        h = histogram(tree, a).filter(F.col(a).isNotNull()).select(F.col(a).cast("double").alias("x"), "n")
+        # read for block bounds, block sums and running sums: kept, spilling to disk, so that the join runs once
+        h = histogram(tree, a).filter(F.col(a).isNotNull()).select(F.col(a).cast("double").alias("x"), "n").persist()
         cuts = running_counts(h).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(parts - 1))))
         cuts = cuts.filter((F.col("upto") * parts >= F.col("i") * F.col("total")) & ((F.col("upto") - F.col("n")) * parts < F.col("i") * F.col("total")))
         out.append(cuts.select(F.lit(a).alias("feature"), "i", F.col("x").alias("cut")))
