@@ -115,6 +115,14 @@ def test_lines_match_brute_force(spark):
         assert (r.n_lines, r.n_removed, r.kept) == want[r.doc_id], r
 
 
+def test_lines_of_very_long_texts(spark):
+    own, shared = [f"own {i}" for i in range(20_000)], [f"shared {i}" for i in range(40_000)]
+    rows = [(1, "\n".join(shared)), (2, "\n".join(own + shared + own[:2]))]
+    got = {r.doc_id: r for r in line_windows.remove_later_windows(docs_frame(spark, rows)).collect()}
+    assert (got[1].n_removed, got[1].kept) == (0, rows[0][1])
+    assert (got[2].n_lines, got[2].n_removed, got[2].kept) == (60_002, 40_000, "\n".join(own + own[:2]))
+
+
 def test_simhash_matches_brute_force(spark, corpus):
     rng = np.random.default_rng(1)
     long = " ".join(f"v{i}" for i in rng.integers(0, 500, 400))
@@ -218,6 +226,13 @@ def test_decontamination_edges(spark, corpus):
     assert all(r.n_hit == 0 and not r.contaminated for r in none)
 
 
+def test_decontamination_of_very_long_texts(spark):
+    item, own = " ".join(f"w{i}" for i in range(40_000)), " ".join(f"v{i}" for i in range(20_000))
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = decontaminate.decontaminate(docs_frame(spark, [(1, f"{own}. {item}, {own}")]), bench).first()
+    assert (got.n_words, got.n_hit, got.contaminated, got.cleaned) == (80_000, 40_000, True, f"{own}, {own}")
+
+
 NODES = "tree_id long, node_id long, parent_id long, role string, text string, score double"
 
 
@@ -321,6 +336,8 @@ def test_license_base_and_labels(spark, corpus):
     named = {r.doc_id: r for r in got}
     assert "mit-text" in named[801].labels and "mit-text" not in named[803].labels
     assert named[801].spans[0].start in (3, 4) and named[801].score < 1
+    many = license_scan.phrase_places([b"cc", b"by", b"x"] * 50_000)
+    assert many == (list(range(0, 150_000, 3)), {"cc-by"})
     assert license_scan.scan(docs_frame(spark, [])).count() == 0
 
 
