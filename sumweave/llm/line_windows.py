@@ -67,12 +67,14 @@ def remove_later_windows(docs: DataFrame, size: int = 3, id_col: str = "doc_id",
         F.col(id_col).alias("doc_id"), content_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")
     )
     covered = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + (size - 1)))))
-    kept = F.filter(_lines(F.col("text")), lambda _, i: ~F.array_contains("covered", i))
-    met = fixed(all_docs.join(later, "key", "left"), covered=F.coalesce(covered, F.array().cast("array<int>")))
+    met = fixed(all_docs.join(later, "key", "left"), lines=_lines(F.col("text")), covered=F.coalesce(covered, F.array().cast("array<int>")))
+    # A difference of sets: linear in the lines, whatever number of them goes.
+    left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("covered"))
+    kept = F.transform(left, lambda i: F.get("lines", i))
     return met.select(
         "doc_id",
         "key",
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(_lines(F.col("text")))).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),
         F.size("covered").cast("long").alias("n_removed"),
         F.when(F.size("covered") == 0, F.col("text")).otherwise(F.array_join(kept, "\n")).alias("kept"),
     )
