@@ -89,9 +89,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 13, share: int
     )
     items = F.coalesce(F.array_distinct(F.flatten(F.transform("hits", lambda x: x["items"]))), F.array().cast("array<bigint>"))
     pieces = F.regexp_extract_all("text", F.lit(r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), 0)
-    kept = F.filter(pieces, lambda _, i: ~F.array_contains("covered", i))
+    # A difference of sets: linear in the words, whatever number of them is hit.
+    left = F.array_except(F.sequence(F.lit(0), F.size("pieces") - 1), F.col("covered"))
+    kept = F.transform(left, lambda i: F.get("pieces", i))
     return (
-        fixed(found, covered=covered)
+        fixed(found, covered=covered, pieces=F.when(F.col("hits").isNotNull(), pieces))
         .withColumn("n_words", F.size("words").cast("long"))
         .withColumn("n_hit", F.size("covered").cast("long"))
         .select(
