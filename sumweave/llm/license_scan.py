@@ -63,9 +63,11 @@ def phrase_places(words: list[bytes], phrases=PHRASES) -> tuple[list[int], set[s
     line, places, labels = b" " + b" ".join(words) + b" ", [], set()
     for phrase, label in phrases:
         own = b" " + b" ".join(words_of(phrase.encode())) + b" "
-        at = line.find(own)
+        at, upto, word = line.find(own), 0, 0
         while at >= 0:
-            places.append(line.count(b" ", 0, at))
+            word += line.count(b" ", upto, at)
+            upto = at
+            places.append(word)
             labels.add(label)
             at = line.find(own, at + 1)
     return places, labels
