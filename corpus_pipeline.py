@@ -15,10 +15,10 @@ from sumweave.llm.queries import held_out, tokenizer_path
 
 
 def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """docs with the text (and its length) of ``texts`` (key, _new; equal rows share a key); others go."""
+    """docs with the text (and its length) of ``texts`` (doc_id, key, _new; equal rows share both); others go."""
     columns = docs.columns
     own = docs.withColumn("_key", content_key("doc_id", "text"))
-    met = own.join(texts.withColumnRenamed("key", "_key").dropDuplicates(["_key"]), "_key")
+    met = own.join(texts.withColumnRenamed("key", "_key").dropDuplicates(["doc_id", "_key"]), ["doc_id", "_key"])
     return met.withColumn("text", F.col("_new")).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
 
 
@@ -32,20 +32,21 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """Later occurrences of three-line windows go; documents of which nothing is left go."""
     found = line_windows.remove_later_windows(docs)
     left = found.filter((F.col("n_removed") == 0) | (F.trim(F.translate("kept", "\n\t\r", "   ")) != ""))
-    return _with_text(docs, left.select("key", F.col("kept").alias("_new")))
+    return _with_text(docs, left.select("doc_id", "key", F.col("kept").alias("_new")))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays."""
-    found = simhash_tiles.near_duplicates(docs).filter("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(found, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near-duplicates one document stays: the smallest doc_id (then text hash), once."""
+    kept = simhash_tiles.near_duplicates(docs).filter("first").select("doc_id", F.col("key").alias("_key"))
+    own = docs.withColumn("_key", content_key("doc_id", "text"))
+    return own.join(kept, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; from others the words of benchmark windows go."""
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     left = found.filter(~F.col("contaminated"))
-    return _with_text(docs, left.select("key", F.col("cleaned").alias("_new")))
+    return _with_text(docs, left.select("doc_id", "key", F.col("cleaned").alias("_new")))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

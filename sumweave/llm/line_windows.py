@@ -60,14 +60,14 @@ def remove_later_windows(docs: DataFrame, size: int = 3, id_col: str = "doc_id",
     later = (
         found.join(first, "h")
         .filter((F.col("doc_id") != F.col("first_doc")) | (F.col("at") != F.col("first_at")))
-        .groupBy("key")
+        .groupBy("doc_id", "key")
         .agg(F.collect_set("at").alias("ats"))
     )
     all_docs = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), content_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")
     )
     covered = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + (size - 1)))))
-    met = fixed(all_docs.join(later, "key", "left"), lines=_lines(F.col("text")), covered=F.coalesce(covered, F.array().cast("array<int>")))
+    met = fixed(all_docs.join(later, ["doc_id", "key"], "left"), lines=_lines(F.col("text")), covered=F.coalesce(covered, F.array().cast("array<int>")))
     # A difference of sets: linear in the lines, whatever number of them goes.
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("covered"))
     kept = F.transform(left, lambda i: F.get("lines", i))

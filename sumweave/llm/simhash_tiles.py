@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, frugal, word_bounds
+from ._common import content_key, cut, frugal, word_bounds
 from .components import components
 
 TILE = 4096
@@ -50,15 +50,17 @@ def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint's 64 bits as a signed long) of every document."""
+    """doc_id, key (hash of doc_id and text), fp (the fingerprint's 64 bits as a signed long) of every document."""
 
     def run(batches):
         for b in batches:
-            fps = np.array([fingerprint(t, words) for t in b.column(1).to_pylist()], np.uint64)
-            yield pa.record_batch([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, words) for t in b.column(2).to_pylist()], np.uint64)
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(fps.view(np.int64))], names=["doc_id", "key", "fp"])
 
-    own = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return own.mapInArrow(frugal(run), "doc_id long, fp long")
+    own = docs.filter(F.col(id_col).isNotNull()).select(
+        F.col(id_col).cast("long").alias("doc_id"), content_key(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text")
+    )
+    return own.mapInArrow(frugal(run), "doc_id long, key long, fp long")
 
 
 def _quarters(fp: np.ndarray) -> np.ndarray:
@@ -166,11 +168,17 @@ def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, slices: int = 8
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable over links) of every document."""
+    """doc_id, key, fp, component_id (smallest doc_id reachable over links), first of every document.
+
+    first marks each component's one text that stays: the least (doc_id, key).  Equal doc_ids
+    with other texts are documents of their own; repeated rows are marked alike.
+    """
     found = cut(fingerprints(docs, words, id_col, text_col), "simhash-fingerprints")
-    vertices = cut(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "simhash-vertices")
+    vertices = cut(found.groupBy("fp").agg(F.min(F.struct("doc_id", "key")).alias("first")), "simhash-vertices")
     named = vertices.join(components(link(vertices, radius)).withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("component", "fp").alias("component")
     )
-    smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    return found.join(named.join(smallest, "component").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    smallest = named.groupBy("component").agg(F.min("first").alias("least"))
+    return found.join(named.join(smallest, "component").select("fp", "least"), "fp").select(
+        "doc_id", "key", "fp", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "key") == F.col("least")).alias("first")
+    )

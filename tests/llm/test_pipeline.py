@@ -36,6 +36,14 @@ def test_copies_and_benchmark_go(spark):
     assert all(r.n_chars == len(r.text) for r in docs.collect())
 
 
+def test_equal_ids_with_other_texts_stay(spark):
+    kind = documents(spark, SF).schema
+    texts = [" ".join(f"{x}{i}" for i in range(300)) for x in "ab"]
+    rows = [(1, texts[0], "en", "s", 9), (1, texts[1], "en", "s", 9), (1, texts[1], "en", "s", 9), (2, texts[0], "en", "s", 9)]
+    kept = cp.drop_near_duplicates(spark, spark.createDataFrame(rows, kind), SF).collect()
+    assert sorted((r.doc_id, r.text) for r in kept) == [(1, texts[0]), (1, texts[1])]
+
+
 def test_empty(spark):
     docs = documents(spark, SF).limit(0)
     for _, stage in cp.STAGES:
