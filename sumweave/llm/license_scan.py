@@ -87,14 +87,16 @@ def verified(words: list[bytes], template: list[bytes], spans: list[tuple[int, i
     return float(hit.mean()) if len(hit) else 0.0
 
 
-def merge_diagonals(spans: list[tuple[int, int, int]], drift: int, reach: int) -> list[list[tuple[int, int, int]]]:
-    """Groups of spans whose diagonals differ by at most ``drift`` and which lie within ``reach`` words."""
+def merge_diagonals(spans: list[tuple[int, int, int]], drift: int) -> list[list[tuple[int, int, int]]]:
+    """Groups of spans in which each diagonal is at most ``drift`` above the one before.
+
+    A diagonal's matches lie within one template's length from it, so neighbours are also
+    close to each other in the document, however many other matches lie between.
+    """
     groups: list[list[tuple[int, int, int]]] = []
-    for span in sorted(spans, key=lambda s: (s[1], s[0])):
-        for g in reversed(groups[-8:]):
-            if abs(g[-1][0] - span[0]) <= drift and span[1] - max(s[2] for s in g) <= reach:
-                g.append(span)
-                break
+    for span in sorted(spans):
+        if groups and span[0] - groups[-1][-1][0] <= drift:
+            groups[-1].append(span)
         else:
             groups.append([span])
     return groups
@@ -122,7 +124,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, min_
             doc_type = b.column(0).type
             for lo in range(0, b.num_rows, 64):
                 part = b.slice(lo, 64)
-                heads, keys, ats, hs = [], [], [], []
+                heads, owners, keys, ats, hs = [], [], [], [], []
                 for doc, key, text in zip(*(part.column(i).to_pylist() for i in range(3))):
                     words = words_of(text)
                     places, labels = phrase_places(words, phrases)
@@ -131,6 +133,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, min_
                         data, starts, ends = word_bounds(b" ".join(words[at : at + PART + k - 1]))
                         h = hasher.ranges(data, starts[: len(starts) - k + 1], ends[k - 1 :]).view(np.int64)
                         met = met or bool(np.isin(h, wanted).any())
+                        owners.append(pa.repeat(pa.scalar(doc, doc_type), len(h)))
                         keys.append(np.full(len(h), key, np.int64))
                         ats.append(np.arange(at, at + len(h), dtype=np.int32))
                         hs.append(h)
@@ -140,19 +143,20 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, min_
                 yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*heads), types)], names=names)
                 if keys:
                     n = sum(map(len, keys))
-                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in (keys, ats, hs)] + [pa.nulls(n, t) for t in types[3:]], names=names)
+                    found = [pa.array(np.concatenate(x)) for x in (keys, ats, hs)]
+                    yield pa.record_batch([*found, pa.concat_arrays(owners)] + [pa.nulls(n, t) for t in types[4:]], names=names)
 
     rows = own.mapInArrow(frugal(run), schema)
     # Template positions: as many rows as the built-in texts have k-grams.
     met = rows.join(F.broadcast(index), "h", "left").filter(F.col("template").isNotNull() | F.col("n_words").isNotNull())
-    diagonals = met.groupBy("key", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(
+    diagonals = met.groupBy("doc_id", "key", "template", (F.col("at") - F.col("place")).alias("diagonal")).agg(
         F.min("at").alias("first"),
         F.max("at").alias("last"),
         F.count(F.lit(1)).alias("votes"),
         F.count("n_words").alias("copies"),
-        F.min(F.when(F.col("n_words").isNotNull(), F.struct("doc_id", "n_words", "places", "base", "text"))).alias("head"),
+        F.min(F.when(F.col("n_words").isNotNull(), F.struct("n_words", "places", "base", "text"))).alias("head"),
     )
-    docs_met = diagonals.groupBy("key").agg(
+    docs_met = diagonals.groupBy("doc_id", "key").agg(
         F.max("copies").alias("copies"),
         F.min("head").alias("head"),
         F.collect_list(F.when(F.col("template").isNotNull(), F.struct("template", "diagonal", "first", "last"))).alias("spans"),
@@ -170,7 +174,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, min_
                     by.setdefault(int(s["template"]), []).append((int(s["diagonal"]), int(s["first"]), int(s["last"]) + k - 1))
                 for t, own_spans in by.items():
                     words = words_of(bytes(text)) if words is None else words
-                    for g in merge_diagonals(own_spans, drift, len(texts[t])):
+                    for g in merge_diagonals(own_spans, drift):
                         cover = verified(words, texts[t], g)
                         if cover >= min_cover:
                             found.append({"label": names[t], "start": min(s[1] for s in g), "end": max(s[2] for s in g) + 1, "cover": cover})
@@ -181,7 +185,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, min_
             yield pd.concat([f[["doc_id", "n_words", "n_base", "first_word", "last_word", "copies"]].reset_index(drop=True), named], axis=1)
 
     flat = docs_met.select(
-        "head.doc_id",
+        "doc_id",
         "head.n_words",
         F.size("head.places").cast("long").alias("n_base"),
         F.array_min("head.places").cast("long").alias("first_word"),
