@@ -142,6 +142,23 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, wi
     return own.mapInArrow(frugal(run), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * with_ids)
 
 
+def padded_length(used, window: int = 2048):
+    """How long a sequence of ``used`` tokens is once padded: the window, or as it is at a power of two."""
+    return F.when(F.bit_count(used) == 1, used).otherwise(F.lit(window))
+
+
+def sequences(packed: DataFrame, window: int = 2048, pad: int = 0) -> DataFrame:
+    """sequence_id, n_tokens, ids (little-endian 32-bit, padded with ``pad``) of packed pieces with their ids.
+
+    A sequence gathers at most ``window`` tokens.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("offset", "ids")))
+    joined = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), parts.alias("parts"))
+    ids = F.aggregate("parts", F.lit(b""), lambda acc, p: F.concat(acc, p["ids"]))
+    size = (4 * padded_length(F.col("n_tokens"), window)).cast("int")
+    return joined.select("sequence_id", "n_tokens", F.rpad(ids, size, F.lit(pad.to_bytes(4, "little"))).alias("ids"))
+
+
 def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Sequence (from 0) and offset of each piece."""
     leaves = 1

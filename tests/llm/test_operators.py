@@ -151,6 +151,10 @@ def test_simhash_matches_brute_force(spark, corpus):
     got = simhash_tiles.near_duplicates(docs_frame(spark, rows)).collect()
     assert len(got) == len(rows) - 1
     assert {(r.doc_id, r.fp & (2**64 - 1), r.component_id) for r in got} == {(d, want[d], root(d)) for d in ids}
+    assert all(r.first == (r.doc_id == r.component_id) for r in got)
+    texts = [" ".join(f"{x}{i}" for i in range(300)) for x in "abc"]
+    same_id = simhash_tiles.near_duplicates(docs_frame(spark, [(1, texts[0]), (1, texts[1]), (1, texts[1]), (2, texts[2]), (3, texts[0])])).collect()
+    assert sorted((r.doc_id, r.first) for r in same_id) == [(1, True), (1, True), (1, True), (2, True), (3, False)]
 
 
 @pytest.mark.parametrize("tile", [3, 4096])
@@ -295,6 +299,11 @@ def test_packing(spark, corpus):
         s = s.sort_values("offset")
         assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 2048
     assert packing.pack(packing.pieces(docs_frame(spark, []), path)).count() == 0
+    rows = [(1, 0, 3, 0), (1, 3, 2, 3), (2, 0, 4, 0), (3, 0, 8, 0)]
+    pieces = [(s, o, n, np.arange(a, a + n, dtype="<u4").tobytes()) for s, a, n, o in rows]
+    made = packing.sequences(spark.createDataFrame(pieces[::-1], "sequence_id long, offset long, length long, ids binary"), 8, 7).collect()
+    told = {r.sequence_id: (r.n_tokens, np.frombuffer(bytes(r.ids), "<u4").tolist()) for r in made}
+    assert told == {1: (5, [0, 1, 2, 3, 4, 7, 7, 7]), 2: (4, [0, 1, 2, 3]), 3: (8, list(range(8)))}
 
 
 def test_best_fit_decreasing():
@@ -336,6 +345,10 @@ def test_license_base_and_labels(spark, corpus):
     named = {r.doc_id: r for r in got}
     assert "mit-text" in named[801].labels and "mit-text" not in named[803].labels
     assert named[801].spans[0].start in (3, 4) and named[801].score < 1
+    # a pair of neighbouring diagonals merges, whatever number of other matches starts between
+    far = [(1000 * i, 50 + i, 60 + i) for i in range(1, 30)]
+    groups = license_scan.merge_diagonals([(40, 45, 50), (43, 90, 95), *far], 4)
+    assert [(40, 45, 50), (43, 90, 95)] in groups and len(groups) == 30
     many = license_scan.phrase_places([b"cc", b"by", b"x"] * 50_000)
     assert many == (list(range(0, 150_000, 3)), {"cc-by"})
     assert license_scan.scan(docs_frame(spark, [])).count() == 0
