@@ -27,7 +27,7 @@ def op2_host_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_fingerprint_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprint_index.remove_repeats(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    return fingerprint_index.remove_repeats(documents(spark, sf_dir), fanout=1).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op4_line_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
