@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sumweave.llm import decontaminate, line_windows, packing, simhash_tiles, zstd_langid
+from sumweave.llm import decontaminate, line_windows, near_copies, packing, zstd_langid
 from sumweave.llm._common import content_key, cut, documents
 from sumweave.llm.queries import held_out, tokenizer_path
 
@@ -36,8 +36,8 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates one document stays: the smallest doc_id (then text hash), once."""
-    kept = simhash_tiles.near_duplicates(docs).filter("first").select("doc_id", F.col("key").alias("_key"))
+    """Of each group of near-duplicates (five-word Jaccard of 0.8 or more) one document stays: the smallest doc_id (then text hash), once."""
+    kept = near_copies.near_copies(docs).filter("first").select("doc_id", F.col("key").alias("_key"))
     own = docs.withColumn("_key", content_key("doc_id", "text"))
     return own.join(kept, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
 

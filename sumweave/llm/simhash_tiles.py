@@ -67,13 +67,19 @@ def _quarters(fp: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count((fp >> np.uint64(s)) & np.uint64(0xFFFF)) for s in (0, 16, 32, 48)], 1).astype(np.int64)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links between two tiles (positions in a, in b); a is b for a tile with itself."""
+def tile_links(a: np.ndarray, b: np.ndarray, radius: int, sketches: tuple | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links between two tiles (positions in a, in b); a is b for a tile with itself.
+
+    sketches: 64 more bits of a's and b's rows and how many of them may differ.
+    """
     shift = 0 if a is b else len(a)
     group = np.arange(shift + len(b))
     out = []
     for at in range(0, len(a), 64):
         near = np.bitwise_count(a[at : at + 64, None] ^ b[None, :]) <= radius
+        if sketches:
+            x, y = np.nonzero(near)
+            near[x, y] = np.bitwise_count(sketches[0][at + x] ^ sketches[1][y]) <= sketches[2]
         for i in np.flatnonzero(near.any(axis=1)).tolist():
             other = np.flatnonzero(near[i]) + shift
             other = other[group[other] != group[at + i]]
@@ -84,18 +90,22 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int) -> list[tuple[int, int
     return out
 
 
-def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, slices: int = 8) -> DataFrame:
+def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, slices: int = 8, sketch_radius: int | None = None) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints ``fp`` within ``radius`` bits.
 
+    With ``sketch_radius`` the vertices are distinct ``node``s, of which some may share a
+    fingerprint; linked nodes differ in at most so many bits of ``sketch``, too.
+
     Of each population count the tiles are dealt to ``slices`` keys, and what meets them
     is repeated for each, so that a common count is compared by many tasks.
     """
+    marks = [] if sketch_radius is None else ["node", "sketch"]
     keyed = vertices.withColumn("ones", F.bit_count("fp").cast("int"))
     quarters = [F.bit_count(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(0xFFFF))) for s in (0, 16, 32, 48)]
     keyed = keyed.withColumn("cell", sum((q.cast("long") * 32**k for k, q in enumerate(quarters)), F.lit(0)))
     # Tiles of one population count: vertices dealt by range of (ones, cell, fp), then cut in each partition.
     parts = max(1, vertices.count() // (4 * tile))
-    dealt = keyed.repartitionByRange(parts, "ones", "cell", "fp").sortWithinPartitions("ones", "cell", "fp")
+    dealt = keyed.repartitionByRange(parts, "ones", "cell", "fp", *marks).sortWithinPartitions("ones", "cell", "fp", *marks)
 
     def cut_tiles(frames):
         held: list[pd.DataFrame] = []
@@ -106,8 +116,10 @@ def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, slices: int = 8
                 part = df.iloc[at : at + tile]
                 fp = part["fp"].to_numpy(np.int64)
                 q = _quarters(fp.view(np.uint64))
-                rows.append((int(part["ones"].iloc[0]), int(fp[0]), fp.tobytes(), q.min(0).tolist(), q.max(0).tolist()))
-            return pd.DataFrame(rows, columns=["ones", "tile", "fps", "low", "high"])
+                more = [part[c].to_numpy(np.int64) for c in marks]
+                name = int(more[0][0] if more else fp[0])
+                rows.append((int(part["ones"].iloc[0]), name, fp.tobytes(), q.min(0).tolist(), q.max(0).tolist(), *(m.tobytes() for m in more)))
+            return pd.DataFrame(rows, columns=["ones", "tile", "fps", "low", "high", *marks])
 
         for frame in frames:
             held.append(frame)
@@ -126,8 +138,8 @@ def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, slices: int = 8
             yield packed(have)
 
     tiles = cut(
-        dealt.select("ones", "fp").mapInPandas(
-            frugal(cut_tiles), "ones int, tile long, fps binary, low array<int>, high array<int>"
+        dealt.select("ones", "fp", *marks).mapInPandas(
+            frugal(cut_tiles), "ones int, tile long, fps binary, low array<int>, high array<int>" + "".join(f", {c} binary" for c in marks)
         ),
         "simhash-tiles",
     )
@@ -156,15 +168,20 @@ def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, slices: int = 8
                 fa = np.frombuffer(columns["fps_a"][k], np.uint64)
                 same = columns["ones_a"][k] == columns["ones"][k] and columns["tile_a"][k] == columns["tile"][k]
                 fb = fa if same else np.frombuffer(columns["fps"][k], np.uint64)
-                found = tile_links(fa, fb, radius)
+                na, nb, more = fa, fb, None
+                if marks:
+                    na, sa, nb, sb = (np.frombuffer(columns[c][k], np.uint64) for c in ("node_a", "sketch_a", "node", "sketch"))
+                    more = (sa, sb, sketch_radius)
+                found = tile_links(fa, fb, radius, more)
                 if found:
                     i, j = (np.array(x) for x in zip(*found))
-                    xs.append(fa[i].view(np.int64))
-                    ys.append(fb[j].view(np.int64))
+                    xs.append(na[i].view(np.int64))
+                    ys.append(nb[j].view(np.int64))
             if xs:
                 yield pa.record_batch([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["a", "b"])
 
-    return pairs.select("ones_a", "tile_a", "fps_a", "ones", "tile", "fps").mapInArrow(frugal(compare), "a long, b long")
+    more = [c + end for end in ("_a", "") for c in marks]
+    return pairs.select("ones_a", "tile_a", "fps_a", "ones", "tile", "fps", *more).mapInArrow(frugal(compare), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

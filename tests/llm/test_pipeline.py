@@ -1,7 +1,10 @@
 """The pipeline: each stage does what it says, on the tables and on edge cases."""
 
 import corpus_pipeline as cp
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
+from sumweave.llm import near_copies
 from sumweave.llm.queries import documents
 
 SF = "/root/testdata/sf0.001"
@@ -44,6 +47,46 @@ def test_equal_ids_with_other_texts_stay(spark):
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, texts[0]), (1, texts[1])]
 
 
+def grams(text):
+    w = text.lower().split()
+    return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+
+def jaccard(a, b):
+    a, b = grams(a), grams(b)
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("block", [128, 5])
+def test_edited_copies_go_and_clean_texts_stay(spark, block):
+    rng = np.random.default_rng(5)
+    texts = [[f"w{x}" for x in rng.integers(0, 5000, n)] for n in (150, 220, 300, 400, 600, 900)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    for i, t in enumerate(texts):
+        for c in range(20):  # each edited word changes five shingles
+            own = list(t)
+            for at in rng.choice(len(t), max(1, int(len(t) * rng.uniform(0.003, 0.05))), replace=False):
+                own[at] = f"new{rng.integers(1 << 30)}"
+            rows.append((100 * (i + 1) + c, " ".join(own)))
+    link = {i: i for i, _ in rows}
+    edited = 0
+    for i, a in rows:
+        for j, b in rows:
+            if i < j and (s := jaccard(a, b)) >= 0.8:
+                edited += s <= 0.95
+                old, new = link[j], link[i]
+                link = {k: new if v == old else v for k, v in link.items()}
+    least = {}
+    for i, v in link.items():
+        least[v] = min(i, least.get(v, i))
+    assert edited > 100 and len(least) > len(texts)
+    docs = spark.createDataFrame([(i, t, "en", "s", 9) for i, t in rows], documents(spark, SF).schema)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copies(docs, block=block).collect()}
+    assert got == {i: least[v] for i, v in link.items()}
+    if block == 128:
+        assert {r.doc_id for r in cp.drop_near_duplicates(spark, docs, SF).collect()} == set(least.values())
+
+
 def test_empty(spark):
     docs = documents(spark, SF).limit(0)
     for _, stage in cp.STAGES:
