@@ -50,8 +50,11 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in training sequences."""
-    return packing.pack(packing.pieces(docs, tokenizer_path()))
+    """The pieces of all documents, with their token ids, in training sequences (``packing.sequences`` joins them).
+
+    Groups are smaller than those of pieces without ids, as a task holds a group: at most 64 MB of ids.
+    """
+    return packing.pack(packing.pieces(docs, tokenizer_path(), with_ids=True), group=8_000)
 
 
 STAGES = [

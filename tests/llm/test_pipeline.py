@@ -4,8 +4,8 @@ import corpus_pipeline as cp
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from sumweave.llm import near_copies
-from sumweave.llm.queries import documents
+from sumweave.llm import near_copies, packing
+from sumweave.llm.queries import documents, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
 
@@ -25,6 +25,17 @@ def test_stages_on_tables(spark):
     assert cp.run(spark, SF).count() == packed.count()
 
 
+def test_tokens_of_all_documents_are_in_the_sequences(spark):
+    docs = documents(spark, SF).limit(60).cache()
+    packed = cp.STAGES[-1][1](spark, docs, SF).cache()
+    held = {r.sequence_id: np.frombuffer(r.ids, "<u4") for r in packing.sequences(packed).collect()}
+    found = {}
+    for r in packed.orderBy("start").collect():
+        found.setdefault(r.doc_id, []).extend(held[r.sequence_id][r.offset : r.offset + r.length].tolist())
+    encode = packing.WordTokenizer(tokenizer_path()).whole
+    assert found == {r.doc_id: [*np.frombuffer(encode(r.text or ""), "<u4").tolist(), 1] for r in docs.collect()}
+
+
 def test_copies_and_benchmark_go(spark):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     clean = documents(spark, SF).filter("length(text) > 1500").limit(3).collect()
