@@ -2,7 +2,7 @@
 
 A window is ``size`` consecutive lines of one document (lines end at ``\\n``).
 Windows are compared by the MD5 of their lines.  Of equal windows the one with the
-smallest (doc_id, position) is the first; every line that a later window covers goes.
+smallest (doc_id, key, position) is the first, ``key`` being the hash of doc_id and text; every line that a later window covers goes.
 The first window of each hash is found by a count and a minimum that combine
 before they are shuffled, so a window that a third of all documents share costs a
 row a task; the join back has unique hashes on one side.
@@ -52,14 +52,14 @@ def remove_later_windows(docs: DataFrame, size: int = 3, id_col: str = "doc_id",
     # Written, so that the join has plain exchanges on both sides, whose hot hashes adaptive execution splits.
     first = cut(
         found.groupBy("h")
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "at")).alias("first"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "key", "at")).alias("first"))
         .filter("n > 1")
-        .select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at")),
+        .select("h", F.col("first.doc_id").alias("first_doc"), F.col("first.key").alias("first_key"), F.col("first.at").alias("first_at")),
         "first-windows",
     )
     later = (
         found.join(first, "h")
-        .filter((F.col("doc_id") != F.col("first_doc")) | (F.col("at") != F.col("first_at")))
+        .filter((F.col("doc_id") != F.col("first_doc")) | (F.col("key") != F.col("first_key")) | (F.col("at") != F.col("first_at")))
         .groupBy("doc_id", "key")
         .agg(F.collect_set("at").alias("ats"))
     )

@@ -115,6 +115,13 @@ def test_lines_match_brute_force(spark):
         assert (r.n_lines, r.n_removed, r.kept) == want[r.doc_id], r
 
 
+def test_lines_of_equal_ids_with_other_texts(spark):
+    a, b = "x\ny\nz\nown a", "x\ny\nz\nown b"
+    rows = [(1, a), (1, b), (1, b), (2, "x\ny\nz")]
+    got = sorted((r.doc_id, r.kept) for r in line_windows.remove_later_windows(docs_frame(spark, []).limit(0).select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).collect())
+    assert got in ([(1, "own b"), (1, "own b"), (1, a), (2, "")], [(1, "own a"), (1, b), (1, b), (2, "")])
+
+
 def test_lines_of_very_long_texts(spark):
     own, shared = [f"own {i}" for i in range(20_000)], [f"shared {i}" for i in range(40_000)]
     rows = [(1, "\n".join(shared)), (2, "\n".join(own + shared + own[:2]))]
