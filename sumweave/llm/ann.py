@@ -14,7 +14,9 @@ give their best ``k`` for each query; these are merged.
 Edges: vectors that are null, of another length than most, zero, or hold null or
 non-finite components take no part; fewer vectors than parts give fewer parts; equal
 scores go to the smaller id; of repeated ids each row is a candidate but a query never
-finds its own id; rows with a null id are left out.
+finds its own id; rows with a null id are left out; exact repeats of a query row (id and vector)
+are one query; equal query ids with other vectors are queries of their own, each with
+its ranks 1 to k under the shared id.
 """
 
 from __future__ import annotations
@@ -137,8 +139,9 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest of each query in one block; ties to the smaller id."""
+def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, query_keys: np.ndarray | None = None) -> pd.DataFrame:
+    """The k nearest of each query in one block; ties to the smaller id; query_keys tell queries of equal ids apart."""
+    query_keys = np.zeros(len(q), np.int64) if query_keys is None else query_keys
     unit = lambda m: (y := m / np.abs(m).max(1, keepdims=True)) / np.sqrt((y * y).sum(1, keepdims=True))
     xu, qu = unit(x), unit(q)
     out = []
@@ -151,12 +154,12 @@ def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.nd
             near = np.flatnonzero((s[r] >= floor[r] - 1e-9) & (s[r] > -np.inf))
             score = cosine(np.repeat(q[at + r : at + r + 1], len(near), 0), x[near])
             best = np.lexsort((ids[near], -score))[:k]
-            out.append(pd.DataFrame({"query_id": query_ids[at + r], "vec_id": ids[near][best], "score": score[best]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            out.append(pd.DataFrame({"query_id": query_ids[at + r], "query_key": query_keys[at + r], "vec_id": ids[near][best], "score": score[best]}))
+    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "query_key": [], "vec_id": [], "score": []})
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int = 16, probes: int = 12, fit_rows: int = 8192, block: int = 4096) -> DataFrame:
-    """query_id, rank, vec_id, score for each query's k nearest; both inputs: id, vec."""
+    """query_id, rank, vec_id, score for each distinct query row's k nearest; both inputs: id, vec."""
     spark = vectors.sparkSession
     model = fit(vectors, parts, fit_rows)
     schema = "query_id long, rank int, vec_id long, score double"
@@ -180,7 +183,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int = 16,
     def routed(df: DataFrame, probes: int) -> DataFrame:
         return df.mapInPandas(route(probes), "id long, vec array<double>, parts array<int>").select("id", "vec", F.explode("parts").alias("part"))
 
-    index, asked = cut(routed(vectors, 1), "ann-index"), cut(routed(queries, probes), "ann-queries")
+    index, asked = cut(routed(vectors, 1), "ann-index"), cut(routed(queries.dropDuplicates(["id", "vec"]), probes), "ann-queries")
     # A row for each part: at most ``parts``.
     blocks = lambda df: {r["part"]: -(-r["n"] // block) for r in df.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     held, wanted = blocks(index), blocks(asked)
@@ -193,18 +196,19 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int = 16,
         return spark.createDataFrame([], schema)
     own = lambda counts: F.pmod(F.xxhash64("id", "part"), number(counts)).cast("int")
     all_of = lambda counts: F.explode(F.sequence(F.lit(0), number(counts) - 1))
+    asked = asked.withColumn("query_key", F.xxhash64("vec"))
     x = index.withColumn("xb", own(held)).select("*", all_of(wanted).alias("qb"))
     q = asked.filter(F.col("part").isin([int(p) for p in held])).withColumn("qb", own(wanted)).select("*", all_of(held).alias("xb"))
 
     def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        return search_block(a["id"].to_numpy(np.int64), np.array(a["vec"].tolist()), b["id"].to_numpy(np.int64), np.array(b["vec"].tolist()), k)
+            return pd.DataFrame({"query_id": [], "query_key": [], "vec_id": [], "score": []})
+        return search_block(a["id"].to_numpy(np.int64), np.array(a["vec"].tolist()), b["id"].to_numpy(np.int64), np.array(b["vec"].tolist()), k, b["query_key"].to_numpy(np.int64))
 
     keys = ["part", "xb", "qb"]
-    found = x.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
+    found = x.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(meet, "query_id long, query_key long, vec_id long, score double")
     # At most k rows of a query from each of its blocks.
-    best = found.groupBy("query_id").agg(
+    best = found.groupBy("query_id", "query_key").agg(
         F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best")
     )
     return best.select("query_id", F.posexplode("best").alias("at", "b")).select(

@@ -409,6 +409,18 @@ def test_ann_recall_and_edges(spark):
     assert ann.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_ann_repeated_queries(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(60, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = lambda rows: spark.createDataFrame(rows, "id long, vec array<double>")
+    ask = lambda *q: sorted(map(tuple, ann.search(frame(rows), frame(list(q)), k=5, probes=16).collect()))
+    once, other = ask(rows[0]), ask((0, rows[1][1]))
+    assert len(once) == len({r[2] for r in once}) == 5
+    assert ask(*[rows[0]] * 6) == once
+    assert ask(rows[0], (0, rows[1][1]), rows[0]) == sorted(once + other)
+
+
 def test_ann_recall_on_tables(spark):
     sf = "/root/testdata/sf0.1"
     e = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
