@@ -4,75 +4,125 @@ from __future__ import annotations
 
 import argparse
 import os
+import sys
+import time
+from concurrent.futures import ThreadPoolExecutor
 
+import pyspark
 from pyspark.sql import SparkSession
 
 from . import sources
-from .operators import kmeans, moments, regression, trees
-from .plans.batch import AggregateBatch, Query, count
-
-MODELS = ("count", "covar", "reg", "rtree", "ctree", "cube", "mi", "perc", "kmeans")
+from .operators.applications import APPLICATIONS, Task
+from .plans import batch as batches
+from .plans.batch import AggregateBatch
+from .plans.sqlgen import scripts
 
 
 def run(spark: SparkSession, model: str, tree, features, strategy: str = "flat", k: int = 5, kappa: int | None = None):
     """The model's result as a DataFrame."""
-    if model == "count":
-        return moments.count_join(tree, strategy)
-    sources.check_label(features, {"covar": "continuous", "reg": "continuous", "mi": "continuous", "perc": "continuous", "rtree": "continuous", "ctree": "categorical", "cube": "continuous"}.get(model))
-    label = features[0].name
-    cont = [f.name for f in features[1:] if f.kind == sources.CONTINUOUS]
-    cat = [f.name for f in features[1:] if f.kind == sources.CATEGORICAL]
-    if model == "covar":
-        return moments.covariance(tree, [label, *cont], cat, strategy)
-    if model == "cube":
-        return moments.cube(tree, cat, [label, *(f.name for f in features[1:] if f.kind == sources.MEASURE)])
-    if model == "mi":
-        return moments.mutual_information(tree, cat)
-    if model == "perc":
-        return moments.percentiles(tree, [label, *cont])
-    if model == "reg":
-        fitted = regression.fit(tree, label, cont, cat, strategy=strategy)
-        return spark.createDataFrame([(n, v, float(t)) for (n, v), t in zip(fitted.names, fitted.theta)] if fitted else [], "feature string, value string, theta double")
-    if model == "kmeans":
-        fitted = kmeans.fit(tree, [label, *cont] if features[0].kind != sources.CATEGORICAL else cont, cat + [label] * (features[0].kind == sources.CATEGORICAL), k, kappa)
-        rows = [(i, name, str(m)) for i, c in enumerate(fitted.centroids if fitted else []) for name, m in c.items()]
-        return spark.createDataFrame(rows, "cluster int, feature string, centroid string")
-    cuts = {c: [] for c in cont}
-    for r in moments.percentiles(tree, cont).collect() if cont else []:
-        if r["cut"] not in cuts[r["feature"]]:
-            cuts[r["feature"]].append(r["cut"])
-    return trees.best_split(tree, label, {c: sorted(v) for c, v in cuts.items()}, cat, classify=model == "ctree")
+    task = Task(spark, tree, features, strategy, k, kappa)
+    APPLICATIONS[model].check(task)
+    return APPLICATIONS[model].run(task)
+
+
+def run_batch(batch: AggregateBatch, strategy: str, shared: bool, concurrent: bool) -> dict[str, float]:
+    """Runs the batch into a sink that drops the rows: seconds of each query, or of the one pass for all."""
+    spent: dict[str, float] = {}
+
+    def one(name: str, df) -> None:
+        began = time.perf_counter()
+        df.write.format("noop").mode("overwrite").save()
+        spent[name] = time.perf_counter() - began
+
+    if shared:
+        one("all", batch.shared(strategy).df)
+        return spent
+    with ThreadPoolExecutor(8 if concurrent else 1) as pool:
+        list(pool.map(one, [q.name or str(i) for i, q in enumerate(batch.queries)], batch.execute(strategy)))
+    return spent
 
 
 def main(args: list[str] | None = None) -> None:
     p = argparse.ArgumentParser(prog="sumweave", description=__doc__)
-    p.add_argument("--path", required=True, help="folder of the tables and configuration")
-    p.add_argument("--files", help="folder of the configuration, if another")
+    p.add_argument("--info", action="store_true", help="print versions and stop")
+    p.add_argument("-p", "--path", help="folder of the tables and configuration")
+    p.add_argument("-f", "--files", help="folder of the configuration, if another")
     p.add_argument("--td", default="treedecomposition.conf")
     p.add_argument("--feat", default="features.conf")
-    p.add_argument("--model", choices=MODELS, default="count")
+    p.add_argument("-m", "--model", choices=APPLICATIONS, default="covar")
     p.add_argument("--strategy", choices=("flat", "views", "auto"), default="flat")
-    p.add_argument("--out", help="folder to write the result to")
+    p.add_argument("-o", "--out", help="folder to write the result to")
     p.add_argument("--format", default="csv")
     p.add_argument("-k", "--clusters", type=int, default=5)
     p.add_argument("--kappa", type=int)
-    p.add_argument("--explain", action="store_true", help="print the view plan of the covariance batch and stop")
-    p.add_argument("--sql", action="store_true", help="print the SQL of the covariance batch and stop")
+    p.add_argument("--depth", type=int, default=3, help="levels of the tree that --test evaluates")
+    p.add_argument("--test", help="rows of the join (a file with all attributes) to evaluate the model on")
+    p.add_argument("--times", help="local file that gets a line with the milliseconds of each step")
+    p.add_argument("--mo", type=int, choices=(0, 1), default=1, help="1: one pass for all queries of the batch; 0: a pass each")
+    p.add_argument("--compress", type=int, choices=(0, 1), default=1, help="1: products that differ below one edge are added there; 0: each by itself")
+    p.add_argument("--parallel", choices=("none", "task", "domain", "both"), default="both", help="task, both: with --mo 0, queries run at the same time (Spark splits the data anyway)")
+    p.add_argument("--bench_individual", action="store_true", help="time the batch query by query and stop")
+    p.add_argument("--microbench", action="store_true", help="print the formatted plan of the batch before it runs")
+    p.add_argument("--dump", help="folder for the batch's results as lines, each with a header of counts")
+    p.add_argument("--decimals", type=int, help="of dumped aggregates, in order of the group-by attributes")
+    p.add_argument("--explain", action="store_true", help="print the view plan of the batch and stop")
+    p.add_argument("--sql", nargs="?", const="-", help="print the SQL of the batch's views, or write all scripts to this folder, and stop")
     o = p.parse_args(args)
-    conf = o.files or o.path
+    if o.info:
+        print(f"sumweave on Spark {pyspark.__version__}, Python {sys.version.split()[0]}; models: {', '.join(APPLICATIONS)}")
+        return
+    if not o.path:
+        p.error("--path is required")
+    began = time.perf_counter()
+    conf, times = o.files or o.path, {}
+    batches.COMPRESS = bool(o.compress)
     spark = SparkSession.builder.appName("sumweave").getOrCreate()
     tree = sources.load(spark, o.path, sources.read_tree(os.path.join(conf, o.td)))
-    features = sources.read_features(os.path.join(conf, o.feat), tree) if o.model != "count" or o.explain or o.sql else []
-    if o.explain or o.sql:
-        batch = moments.covar_batch(tree, [f.name for f in features if f.kind != 1], [f.name for f in features if f.kind == 1]) if features else AggregateBatch(tree).add(Query([], [count()]))
-        print(batch.explain() if o.explain else "\n".join(batch.to_sql("views")))
-        print(batch.stats())
-        return
-    out = run(spark, o.model, tree, features, o.strategy, o.clusters, o.kappa)
-    if o.out:
-        sources.write_table(out, o.out, o.format)
+    features = sources.read_features(os.path.join(conf, o.feat), tree) if o.model != "count" else []
+    task = Task(spark, tree, features, o.strategy, o.clusters, o.kappa, o.depth)
+    application = APPLICATIONS[o.model]
+    application.check(task)
+    times["load"] = time.perf_counter() - began
+
+    if o.explain or o.sql or o.dump or o.bench_individual or o.microbench or not o.mo:
+        if application.batch is None:
+            p.error(f"{o.model} has no batch of its own")
+        batch = application.batch(task)
+        if o.explain:
+            print(batch.explain())
+            print(batch.stats())
+        if o.sql == "-":
+            print("\n".join(batch.to_sql("views")))
+        elif o.sql:
+            os.makedirs(o.sql, exist_ok=True)
+            for name, text in scripts(batch, o.path, o.sql).items():
+                with open(os.path.join(o.sql, name), "w", encoding="utf-8") as f:
+                    f.write(text + "\n")
+        if o.dump:
+            sources.dump(batch, o.dump, o.strategy, o.decimals)
+        if o.microbench:
+            batch.shared(o.strategy).df.explain("formatted")
+        if o.bench_individual or not o.mo or o.microbench:
+            spent = run_batch(batch, o.strategy, bool(o.mo) and not o.bench_individual, o.parallel in ("task", "both") and not o.bench_individual)
+            print("\n".join(f"{k}\t{v * 1000:.0f} ms" for k, v in spent.items()))
+            times |= spent
     else:
-        out.show(1000, truncate=False)
+        began = time.perf_counter()
+        out = application.run(task)
+        if o.out:
+            sources.write_table(out, o.out, o.format)
+        else:
+            out.show(1000, truncate=False)
+        times["run"] = time.perf_counter() - began
+        if o.test:
+            if application.evaluate is None:
+                p.error(f"{o.model} has no model to evaluate")
+            began = time.perf_counter()
+            name, value = application.evaluate(task, sources.read_joined(spark, o.test, tree))
+            print(f"{name}: {value}")
+            times["evaluate"] = time.perf_counter() - began
+    if o.times:
+        sources.append_times(o.times, times)
 
 
 if __name__ == "__main__":

@@ -1,14 +1,17 @@
 """Regression and classification trees from aggregates.
 
-Candidate splits of all nodes of one level come from one pass over the join a feature:
-histograms of the label's sums by (node, value) give categorical splits directly and
-threshold splits by a running sum over the (few) threshold bins.
+Candidate splits of all nodes of one level come from one pass over the join: each row counts
+for every feature, by its value or by its threshold bin, in one aggregation by (node, feature,
+value or bin).  Only that small table is read for the splits: each bin adds to the
+thresholds above it.
+
+Nulls: rows without a label are left out; a null feature is on the right side of every split of it
+(and no split of its own).
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -39,7 +42,7 @@ def under(tree: JoinTree, path: list[Condition]) -> JoinTree:
 
 
 def _flat(tree: JoinTree, label: str, features: list[str], path: list[Condition]) -> DataFrame:
-    return under(tree, path).join(list(dict.fromkeys([label, *features]))).withColumn("node", F.lit(0))
+    return under(tree, path).join(list(dict.fromkeys([label, *features]))).withColumn("__node", F.lit(0))
 
 
 def _bins(feature: str, thresholds: list) -> Column:
@@ -50,95 +53,98 @@ def _bins(feature: str, thresholds: list) -> Column:
     return out
 
 
+def _histograms(df: DataFrame, thresholds: dict[str, list], categorical: list[str], by: list[str], sums: list[Column]) -> DataFrame:
+    """node, ord, bin (of a continuous feature), value (of a categorical one, as text), ``by`` and sums, for all features in one pass."""
+    none, text = F.lit(None).cast("int"), F.lit(None).cast("string")
+    keys = [F.struct(F.lit(i).alias("ord"), _bins(c, t).cast("int").alias("bin"), text.alias("value")) for i, (c, t) in enumerate(thresholds.items())]
+    keys += [F.struct(F.lit(len(thresholds) + i).alias("ord"), none.alias("bin"), F.col(c).cast("string").alias("value")) for i, c in enumerate(categorical)]
+    own = [F.col(c).alias(c[2:]) for c in df.columns if c in ("__node", "__y")]  # no attribute's name
+    return df.select(*own, F.explode(F.array(*keys)).alias("k")).groupBy("node", "k.ord", "k.bin", "k.value", *by).agg(*sums)
+
+
+def _splits(h: DataFrame, thresholds: dict[str, list], categorical: list[str], by: list[str], sums: str) -> DataFrame:
+    """node, ord, split, ``by``, and for each letter c of ``sums`` lc (left of the split) and tc (all, of thresholds only).
+
+    A bin counts for all thresholds of its feature, on the left of those above it; a value for itself.
+    """
+    entry = lambda at, split, left: F.struct(at.alias("at"), split.alias("split"), left.alias("left"))
+    lists = [F.array(*(entry(F.lit(i), F.lit(str(v)), F.col("bin") <= i) for i, v in enumerate(t))) for t in thresholds.values()]
+    own = F.array(entry(F.lit(0), F.col("value"), F.lit(True)))
+    which = own
+    for i, (t, entries) in enumerate(zip(thresholds.values(), lists)):
+        which = F.when(F.col("ord") == i, entries if t else F.lit(None)).otherwise(which)
+    each = h.select("*", F.explode(which).alias("e")).select("*", "e.at", "e.split", "e.left")
+    return each.groupBy("node", "ord", "at", "split", *by).agg(
+        *(F.coalesce(F.sum(F.when(F.col("left"), F.col(c))), F.lit(0)).alias(f"l{c}") for c in sums), *(F.sum(c).alias(f"t{c}") for c in sums)
+    )
+
+
+def _named(df: DataFrame, thresholds: dict[str, list], categorical: list[str]) -> list[Column]:
+    names = F.array(*(F.lit(c) for c in [*thresholds, *categorical]))
+    return ["node", "ord", F.get(names, F.col("ord")).alias("feature"), (F.col("ord") >= len(thresholds)).alias("categorical"), "split"]
+
+
 def _sse(n, s, q):
     return q - s * s / n
 
 
 def regression_candidates(df: DataFrame, label: str, thresholds: dict[str, list], categorical: list[str]) -> DataFrame:
-    """node, ord, feature, split (text), n_left, n_right, cost, pred_left, pred_right.
+    """node, ord, feature, categorical, split (text), n_left, n_right, cost, pred_left, pred_right.
 
     cost: sum of squared errors of both sides; infinite (null here) if a side is empty.
     """
-    y = F.col(label).cast("double")
-    sums = [F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")]
-    out = []
-    names = [*thresholds, *categorical]
-    for feature in names:
-        is_cat = feature in categorical
-        key = F.col(feature) if is_cat else _bins(feature, thresholds[feature])
-        h = df.groupBy("node", key.alias("v")).agg(*sums)
-        whole = Window.partitionBy("node")  # a row a value or bin
-        upto = whole if is_cat else whole.orderBy("v")
-        side = (lambda c: F.col(c)) if is_cat else (lambda c: F.sum(c).over(upto))  # noqa: B023
-        h = h.select("node", "v", *(F.sum(c).over(whole).alias(f"t{c}") for c in "nsq"), *(side(c).alias(f"l{c}") for c in "nsq"))
-        if not is_cat:
-            # a bin without rows has the running sums of the last one before it
-            edges = F.explode(F.array(*(F.struct(F.lit(i).alias("b"), F.lit(str(t)).alias("split")) for i, t in enumerate(thresholds[feature]))))
-            nodes = df.select("node").distinct().select("node", edges.alias("e")).select("node", "e.b", "e.split")
-            last = nodes.join(h, (nodes["node"] == h["node"]) & (h["v"] <= nodes["b"]), "left").groupBy(nodes["node"], "b", "split").agg(
-                F.max(F.struct("v", "ln", "ls", "lq", "tn", "ts", "tq")).alias("m")
-            )
-            h = last.filter("m.ln IS NOT NULL").select("node", F.col("b").alias("v"), "split", "m.ln", "m.ls", "m.lq", "m.tn", "m.ts", "m.tq")
-        else:
-            h = h.withColumn("split", F.col("v").cast("string"))
-        rn, rs, rq = (F.col(f"t{c}") - F.col(f"l{c}") for c in "nsq")
-        good = (F.col("ln") > 0) & (rn > 0)
-        safe = F.when(good, rn)
-        out.append(
-            h.select(
-                "node",
-                F.lit(names.index(feature)).alias("ord"),
-                F.lit(feature).alias("feature"),
-                F.lit(is_cat).alias("categorical"),
-                "split",
-                F.col("ln").alias("n_left"),
-                rn.alias("n_right"),
-                (_sse(F.when(good, F.col("ln")), F.col("ls"), F.col("lq")) + _sse(safe, rs, rq)).alias("cost"),
-                (F.col("ls") / F.when(F.col("ln") > 0, F.col("ln"))).alias("pred_left"),
-                (rs / safe).alias("pred_right"),
-            )
-        )
-    return reduce(DataFrame.unionByName, out)
+    y = F.col("y")
+    own = df.withColumn("__y", F.col(label).cast("double")).filter("__y IS NOT NULL")
+    h = _histograms(own, thresholds, categorical, [], [F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")])
+    out = _splits(h, thresholds, categorical, [], "nsq")
+    if categorical:
+        whole = Window.partitionBy("node", "ord")  # a row a value or threshold
+        value = F.col("ord") >= len(thresholds)
+        out = out.withColumns({f"t{c}": F.when(value, F.sum(f"l{c}").over(whole)).otherwise(F.col(f"t{c}")) for c in "nsq"}).filter("split IS NOT NULL")
+    rn, rs, rq = (F.col(f"t{c}") - F.col(f"l{c}") for c in "nsq")
+    good = (F.col("ln") > 0) & (rn > 0)
+    safe = F.when(good, rn)
+    return out.select(
+        *_named(out, thresholds, categorical),
+        F.col("ln").alias("n_left"),
+        rn.alias("n_right"),
+        (_sse(F.when(good, F.col("ln")), F.col("ls"), F.col("lq")) + _sse(safe, rs, rq)).alias("cost"),
+        (F.col("ls") / F.when(F.col("ln") > 0, F.col("ln"))).alias("pred_left"),
+        (rs / safe).alias("pred_right"),
+    )
 
 
 def classification_candidates(df: DataFrame, label: str, thresholds: dict[str, list], categorical: list[str]) -> DataFrame:
     """As above with weighted Gini cost and majority classes (ties: the smaller class)."""
-    names, out = [*thresholds, *categorical], []
-    y = F.col(label).cast("string")
-    for feature in names:
-        is_cat = feature in categorical
-        key = F.col(feature).cast("string") if is_cat else _bins(feature, thresholds[feature])
-        h = df.groupBy("node", key.alias("v"), y.alias("y")).agg(F.count(F.lit(1)).alias("n"))
-        classes = h.groupBy("node", "y").agg(F.sum("n").alias("t"))
-        if is_cat:
-            splits = h.select("node", "v").distinct().withColumn("split", F.col("v"))
-            met = splits.join(classes, "node").join(h, ["node", "v", "y"], "left")
-            sides = met.select("node", "split", "y", F.coalesce("n", F.lit(0)).alias("l"), "t")
-        else:
-            edges = F.explode(F.array(*(F.struct(F.lit(i).alias("b"), F.lit(str(t)).alias("split")) for i, t in enumerate(thresholds[feature]))))
-            met = classes.withColumn("e", edges).select("node", "y", "t", "e.b", "e.split")
-            mine = h.select(F.col("node").alias("hn"), F.col("v").alias("hv"), F.col("y").alias("hy"), "n")
-            met = met.join(mine, (F.col("node") == F.col("hn")) & F.col("y").eqNullSafe(F.col("hy")) & (F.col("hv") <= F.col("b")), "left")
-            sides = met.groupBy("node", "split", "b", "y", "t").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("l"))
-        right = F.col("t") - F.col("l")
-        per = sides.groupBy("node", "split").agg(
-            F.sum("l").alias("n_left"),
-            F.sum(right).alias("n_right"),
-            F.sum(F.col("l") * F.col("l")).alias("ql"),
-            F.sum(right * right).alias("qr"),
-            F.min(F.struct((-F.col("l")).alias("k"), "y"))["y"].alias("pred_left"),
-            F.min(F.struct((-right).alias("k"), "y"))["y"].alias("pred_right"),
-        )
-        good = (F.col("n_left") > 0) & (F.col("n_right") > 0)
-        total = F.col("n_left") + F.col("n_right")
-        gini = lambda n, q: F.when(good, (F.lit(1.0) - F.col(q) / (F.col(n).cast("double") * F.col(n))) * F.col(n) / total)  # noqa: E731, B023
-        out.append(
-            per.select(
-                "node", F.lit(names.index(feature)).alias("ord"), F.lit(feature).alias("feature"), F.lit(is_cat).alias("categorical"), "split",
-                "n_left", "n_right", (gini("n_left", "ql") + gini("n_right", "qr")).alias("cost"), "pred_left", "pred_right",
-            )
+    own = df.withColumn("__y", F.col(label).cast("string")).filter("__y IS NOT NULL")
+    h = _histograms(own, thresholds, categorical, ["y"], [F.count(F.lit(1)).alias("n")])
+    each = _splits(h, thresholds, categorical, ["y"], "n")
+    own = F.collect_list(F.struct("y", F.col("ln").alias("l"), (F.col("tn") - F.col("ln")).alias("r")))
+    if not categorical:
+        out = each.groupBy("node", "ord", "at", "split").agg(own.alias("sides"))
+    else:
+        # a side has a number for each class of its node, also of those that no row of a value has
+        value = F.col("ord") >= len(thresholds)
+        each = each.withColumn("tn", F.when(value, F.sum("ln").over(Window.partitionBy("node", "ord", "y"))).otherwise(F.col("tn")))
+        each = each.withColumn("classes", F.collect_set(F.struct("y", F.col("tn").alias("t"))).over(Window.partitionBy("node", "ord")))
+        found = each.filter("split IS NOT NULL").groupBy("node", "ord", "at", "split").agg(
+            own.alias("own"), F.map_from_entries(F.collect_list(F.struct("y", "ln"))).alias("left"), F.first("classes").alias("classes")
         )
-    return reduce(DataFrame.unionByName, out)
+
+        def side(c):
+            left = F.coalesce(F.element_at("left", c["y"]), F.lit(0).cast("long"))
+            return F.struct(c["y"].alias("y"), left.alias("l"), (c["t"] - left).alias("r"))
+
+        out = found.select("node", "ord", "split", F.when(value, F.transform("classes", side)).otherwise(F.col("own")).alias("sides"))
+    zero = F.lit(0).cast("long")
+    total = lambda c, f: F.aggregate(F.transform("sides", lambda x: f(x[c])), f(zero), lambda a, b: a + b)
+    square = lambda v: v.cast("double") * v
+    most = lambda c: F.array_min(F.transform("sides", lambda x: F.struct((-x[c]).alias("k"), x["y"].alias("y"))))["y"]
+    out = out.withColumns({"n_left": total("l", lambda v: v), "n_right": total("r", lambda v: v), "ql": total("l", square), "qr": total("r", square), "pred_left": most("l"), "pred_right": most("r")})
+    good = (F.col("n_left") > 0) & (F.col("n_right") > 0)
+    rows = F.col("n_left") + F.col("n_right")
+    gini = lambda n, q: F.when(good, (F.lit(1.0) - F.col(q) / square(F.col(n))) * F.col(n) / rows)
+    return out.select(*_named(out, thresholds, categorical), "n_left", "n_right", (gini("n_left", "ql") + gini("n_right", "qr")).alias("cost"), "pred_left", "pred_right")
 
 
 def candidates(tree: JoinTree, label: str, thresholds: dict[str, list], categorical: list[str], path: list[Condition] = (), classify: bool = False) -> DataFrame:
@@ -161,16 +167,15 @@ class Node:
     condition: Condition | None = None
     left: Node | None = None
     right: Node | None = None
-    path: list[Condition] = field(default_factory=list)
 
 
 def grow(tree: JoinTree, label: str, thresholds: dict[str, list], categorical: list[str], depth: int = 3, min_rows: int = 1, classify: bool = False) -> Node | None:
-    """A tree grown level by level: one candidate job for all nodes of a level; None for an empty join.
+    """A tree grown level by level: one pass over the join for all nodes of a level; None for an empty join.
 
     The driver keeps the nodes (at most 2**depth) and the best split of each.
     """
     features = [*thresholds, *categorical]
-    base = tree.join(list(dict.fromkeys([label, *features])))
+    base = tree.join(list(dict.fromkeys([label, *features]))).filter(F.col(label).isNotNull())
     y = F.col(label)
     if classify:
         top = base.groupBy(y.cast("string").alias("y")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("k"), "y"))["y"].alias("p")).first()
@@ -182,15 +187,9 @@ def grow(tree: JoinTree, label: str, thresholds: dict[str, list], categorical: l
     frontier = [root]
     kinds = dict(base.dtypes)
     for _ in range(depth):
-        if not frontier:
+        if not frontier or not features:
             break
-        number = F.lit(0)
-        for n in frontier:
-            test = F.lit(True)
-            for c in n.path:
-                test = test & c.column()
-            number = F.when(test, n.id).otherwise(number)
-        level = base.withColumn("node", number).filter("node > 0")
+        level = base.withColumn("__node", _leaf(root, {n.id for n in frontier})).filter("__node > 0")
         found = (classification_candidates if classify else regression_candidates)(level, label, thresholds, categorical)
         order = F.struct(F.round("cost", 9), "ord", F.when(F.col("categorical"), 0.0).otherwise(F.expr("try_cast(split AS double)")), "split")
         best = found.filter(f"cost IS NOT NULL AND n_left >= {min_rows} AND n_right >= {min_rows}").groupBy("node").agg(F.min_by(F.struct("*"), order).alias("b")).select("b.*").collect()
@@ -198,10 +197,8 @@ def grow(tree: JoinTree, label: str, thresholds: dict[str, list], categorical: l
         for r in best:
             n = by_id[r["node"]]
             value = r["split"] if r["categorical"] and kinds[r["feature"]] == "string" else next(t for t in thresholds[r["feature"]] if str(t) == r["split"]) if not r["categorical"] else type_of(kinds[r["feature"]])(r["split"])
-            op, other = ("==", "!=") if r["categorical"] else ("<=", ">")
-            n.condition = Condition(r["feature"], op, value)
-            n.left = Node(2 * n.id, r["n_left"], r["pred_left"], path=[*n.path, n.condition])
-            n.right = Node(2 * n.id + 1, r["n_right"], r["pred_right"], path=[*n.path, Condition(r["feature"], other, value)])
+            n.condition = Condition(r["feature"], "==" if r["categorical"] else "<=", value)
+            n.left, n.right = Node(2 * n.id, r["n_left"], r["pred_left"]), Node(2 * n.id + 1, r["n_right"], r["pred_right"])
             frontier += [n.left, n.right]
     return root
 
@@ -210,6 +207,13 @@ def type_of(kind: str):
     return float if kind in ("double", "float") or kind.startswith("decimal") else int
 
 
+def _leaf(node: Node, wanted: set[int]) -> Column:
+    """The id of the row's leaf, 0 for those that aren't wanted."""
+    if node.condition is None:
+        return F.lit(node.id if node.id in wanted else 0)
+    return F.when(node.condition.column(), _leaf(node.left, wanted)).otherwise(_leaf(node.right, wanted))
+
+
 def prediction(node: Node) -> Column:
     if node.condition is None:
         return F.lit(node.prediction)

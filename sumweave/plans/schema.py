@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -31,12 +32,20 @@ class Relation:
 
 @dataclass
 class JoinTree:
-    """Relations joined naturally along the edges of a tree; equal names are join columns."""
+    """Relations joined naturally along the edges of a tree; equal names are join columns.
+
+    unique: relations whose columns shared with their parent (seen from ``root``) are a key.
+    complete: those of them that have a match for every row of their parent; where none of
+    their other attributes is asked for, they are left out of the join.  Both are declared by
+    whoever knows the tables, as foreign keys are; nothing is assumed by default.
+    """
 
     relations: dict[str, Relation]
     edges: list[tuple[str, str]]
     root: str | None = None
     attributes: dict[str, Attribute] = field(default_factory=dict)
+    unique: frozenset[str] = frozenset()
+    complete: frozenset[str] = frozenset()
 
     def __post_init__(self) -> None:
         if not self.relations:
@@ -57,6 +66,26 @@ class JoinTree:
             if links != len(own) - 1:
                 raise ValueError(f"the relations with {attribute!r} aren't connected (running intersection)")
         self._schema: dict[tuple[str, str | None], frozenset[str]] = {}
+        self._parents = dict(self.order())
+        for a, b in self.edges:
+            if not self.shared(a, b):
+                warnings.warn(f"{a} and {b} share no column: their join has all pairs of rows", stacklevel=2)
+
+    def needless(self, node: str, parent: str, used: set[str] | frozenset[str]) -> bool:
+        """Whether the subtree at ``node`` changes neither the rows of ``parent`` nor any used attribute."""
+        below = self._below(node, parent)
+        links = all(r in self.unique and r in self.complete for r in below) and self._parents[node] == parent
+        return links and not (self.subtree(node, parent) & set(used)) - set(self.shared(node, parent))
+
+    def kept(self, used: set[str], root: str | None = None) -> list[tuple[str, str | None]]:
+        """``order`` without needless subtrees."""
+        out: list[tuple[str, str | None]] = []
+        have: set[str] = set()
+        for name, parent in self.order(root):
+            if parent is None or (parent in have and not self.needless(name, parent, used)):
+                out.append((name, parent))
+                have.add(name)
+        return out
 
     def _below(self, node: str, parent: str | None) -> list[str]:
         """Relations of the subtree at ``node`` seen from ``parent``."""
@@ -107,9 +136,10 @@ class JoinTree:
     def join(self, columns: list[str] | None = None) -> DataFrame:
         """The natural join, with the columns asked for; each relation is pruned first."""
         wanted = set(self.columns() if columns is None else columns)
-        keys = {c for a, b in self.edges for c in self.shared(a, b)}
+        kept = self.kept(wanted)
+        keys = {c for name, parent in kept if parent for c in self.shared(name, parent)}
         out = None
-        for name, parent in self.order():
+        for name, parent in kept:
             df = self.frame(name)
             df = df.select(*(c for c in df.columns if c in wanted or c in keys))
             if out is None:
@@ -120,15 +150,22 @@ class JoinTree:
         return out if columns is None else out.select(*columns)
 
     def with_attribute(self, relation: str, name: str, column, type: str = "int") -> JoinTree:
-        """A tree whose ``relation`` has one more column."""
+        """A tree whose ``relation`` has one more column, an expression over its own columns or a constant."""
         if name in self.columns():
             raise ValueError(f"attribute {name!r} exists")
-        relations = {k: Relation(r.name, list(r.columns), r.df, r.threads) for k, r in self.relations.items()}
-        own = relations[relation]
+        out = self._copy()
+        own = out.relations[relation]
         own.df, own.columns = own.df.withColumn(name, column if hasattr(column, "alias") else F.lit(column)), [*own.columns, name]
-        attributes = dict(self.attributes) | {name: Attribute(len(self.attributes), name, type)}
-        return JoinTree(relations, list(self.edges), self.root, attributes)
+        out.attributes[name] = Attribute(len(out.attributes), name, type)
+        return JoinTree(out.relations, out.edges, out.root, out.attributes, out.unique, out.complete)
 
     def replace(self, relation: str, df: DataFrame) -> JoinTree:
-        relations = {k: Relation(r.name, list(r.columns), df if k == relation else r.df, r.threads) for k, r in self.relations.items()}
-        return JoinTree(relations, list(self.edges), self.root, self.attributes)
+        """A tree with other rows in ``relation``, which is no longer known to have a match for every row of its parent."""
+        out = self._copy()
+        out.relations[relation].df = df
+        out.complete = self.complete - {relation}
+        return out
+
+    def _copy(self) -> JoinTree:
+        relations = {k: Relation(r.name, list(r.columns), r.df, r.threads) for k, r in self.relations.items()}
+        return JoinTree(relations, list(self.edges), self.root, dict(self.attributes), self.unique, self.complete)

@@ -11,8 +11,16 @@ def product_sql(product) -> str:
     return " * ".join(f.to_sql() for f in product) or "1"
 
 
+def total_sql(terms: list[str]) -> str:
+    """The sum over rows of each term, added: null only if all are."""
+    sums = [f"SUM({t})" for t in terms]
+    if len(sums) == 1:
+        return sums[0]
+    return f"CASE WHEN COALESCE({', '.join(sums)}) IS NOT NULL THEN {' + '.join(f'COALESCE({s}, 0)' for s in sums)} END"
+
+
 def aggregate_sql(a) -> str:
-    return f"CAST(SUM({' + '.join(product_sql(p) for p in a.products)}) AS {_CASTS[a.type]}) AS {a.name}"
+    return f"CAST({total_sql([product_sql(p) for p in a.products])} AS {_CASTS[a.type]}) AS {a.name}"
 
 
 def from_sql(tree: JoinTree, tables: dict[str, str] | None = None) -> str:
@@ -51,6 +59,21 @@ def drop_sql(tree: JoinTree) -> list[str]:
     return [f"DROP TABLE IF EXISTS {name};" for name in tree.relations]
 
 
+def drop_views_sql(batch) -> list[str]:
+    return [f"DROP TABLE IF EXISTS view_{v.id};" for v in batch.plan().views]
+
+
+def scripts(batch, path: str, target: str) -> dict[str, str]:
+    """File name -> text: tables loaded from ``path``, views made, results exported to ``target``, everything dropped."""
+    return {
+        "load_data.sql": "\n".join(load_sql(batch.tree, path)),
+        "views.sql": "\n".join(batch_sql(batch, "views")),
+        "output.sql": "\n".join(output_sql(batch, target)),
+        "cleanup.sql": "\n".join(drop_views_sql(batch)),
+        "drop_data.sql": "\n".join([*drop_sql(batch.tree), *drop_views_sql(batch)]),
+    }
+
+
 def output_sql(batch, target: str) -> list[str]:
     """Copy commands that export each query's rows in order, with two decimals."""
     out = []
@@ -78,18 +101,15 @@ def batch_sql(batch, mode: str) -> list[str]:
         if view.id in done:
             return
         done.add(view.id)
-        children = list(dict.fromkeys(c for terms in view.aggregates.values() for _, inc in terms for c, _ in inc))
-        for c in children:
+        joins = ""
+        for c in view.children:
             write(plan.views[c])
-        joins, have = "", set(tree.relations[view.origin].columns)
-        for c in children:
-            on = [g for g in plan.views[c].group_by if g in have]
-            have |= set(plan.views[c].group_by)
+            on = tree.shared(view.origin, plan.views[c].origin)
             joins += f" JOIN view_{c} USING ({', '.join(on)})" if on else f" CROSS JOIN view_{c}"
         sums = []
         for name, terms in view.aggregates.items():
             parts = [" * ".join([*(f.to_sql() for f in local), *(n for _, n in inc)]) or "1" for local, inc in terms]
-            sums.append(f"SUM({' + '.join(parts)}) AS {name}")
+            sums.append(f"{total_sql(parts)} AS {name}")
         by = f" GROUP BY {', '.join(view.group_by)}" if view.group_by else ""
         out.append(f"CREATE TABLE view_{view.id} AS SELECT {', '.join([*view.group_by, *sums])} FROM {view.origin}{joins}{by};")
 

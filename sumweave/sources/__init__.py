@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..plans import scratch
 from ..plans.schema import TYPES, Attribute, JoinTree, Relation
 
 CONTINUOUS, CATEGORICAL, MEASURE = 0, 1, 2
@@ -111,6 +112,11 @@ def load(spark: SparkSession, path: str, tree: JoinTree) -> JoinTree:
     return tree
 
 
+def read_joined(spark: SparkSession, path: str, tree: JoinTree) -> DataFrame:
+    """Rows of the join from a file (``|``-separated, all attributes by their ids, or Parquet): held-out data for a model."""
+    return read_table(spark, path, tree.columns() if path.endswith(".parquet") else sorted(tree.attributes, key=lambda a: tree.attributes[a].id), tree.attributes)
+
+
 def write_table(df: DataFrame, path: str, format: str = "csv") -> None:
     """A result as ``|``-separated files or Parquet."""
     writer = df.write.mode("overwrite")
@@ -118,3 +124,25 @@ def write_table(df: DataFrame, path: str, format: str = "csv") -> None:
         writer.csv(path, sep="|", header=True)
     else:
         writer.format(format).save(path)
+
+
+def dump(batch, folder: str, strategy: str = "flat", decimals: int | None = None) -> None:
+    """Each query's rows as ``|``-separated lines in ``query_<i>.tbl``, from one pass over the join.
+
+    ``query_<i>.header`` has one line: the numbers of group-by attributes and of aggregates.  With ``decimals``
+    aggregates are written with so many, rows in the order of their group-by attributes.
+    """
+    spark = batch.tree.frame(batch.tree.root).sparkSession
+    for i, (q, df) in enumerate(zip(batch.queries, batch.execute(strategy, folder=scratch.folder(spark, "dump")))):
+        if decimals is not None:
+            df = df.select(*q.group_by, *(F.col(a.name).cast(f"decimal(38,{decimals})").alias(a.name) for a in q.aggregates))
+            df = df.orderBy(*q.group_by) if q.group_by else df
+        line = F.concat_ws("|", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns))
+        df.select(line.alias("value")).write.mode("overwrite").text(f"{folder}/query_{i}.tbl")
+        spark.range(1).select(F.lit(f"{len(q.group_by)} {len(q.aggregates)}").alias("value")).write.mode("overwrite").text(f"{folder}/query_{i}.header")
+
+
+def append_times(path: str, times: dict[str, float]) -> None:
+    """One line of a local file: name and milliseconds of each step, tab-separated."""
+    with open(path, "a", encoding="utf-8") as f:
+        f.write("\t".join(f"{k}={v * 1000:.0f}" for k, v in times.items()) + "\n")

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -69,15 +70,22 @@ def test_golden_values(example):
 def test_golden_regression(example):
     _, tree = example
     want = [1.069972, -0.439688, 0.447268, -0.105932, 0.081505, 0.012647]
-    for solver in ("normal", "bgd"):
-        m = regression.fit(tree, "B", list("ACDEF"), solver=solver)
+    for solver in ("bgd", "normal"):
+        m = regression.fit(tree, "B", list("ACDEF"), solver=solver, tolerance=1e-9, max_iterations=20_000)
         assert np.allclose(m.theta, want, atol=2e-5), solver
     assert abs(m.rmse(tree.join(list("ABCDEF"))) - 0.218073) < 1e-4
     wide = regression.fit(tree, "B", ["A", "D"], ["C"])
     df = tree.join(list("ABCD")).toPandas()
     x = np.column_stack([np.ones(9), df.A, df.D, df.C == 1, df.C == 2]).astype(float)
     assert np.allclose(wide.theta, np.linalg.solve(x.T @ x / 9 + np.diag([0, 0.1, 0.1, 0.1, 0.1]), x.T @ df.B / 9))
-    assert regression.fit_degree_two(tree, "B", ["A", "C"]).rmse is not None
+    with pytest.raises(ValueError):
+        regression.fit(tree, "B", ["A", "D"], ["C"], max_parameters=4)
+    two = regression.fit_degree_two(tree, "B", ["A", "D"])
+    x = np.column_stack([np.ones(9), df.A, df.D, df.A * df.A, df.A * df.D, df.D * df.D]).astype(float)
+    assert [n for n, _ in two.names] == ["1", "A", "D", "A*A", "A*D", "D*D"]
+    assert np.allclose(two.theta, np.linalg.lstsq(x.T @ x / 9 + np.diag([0] + [0.1] * 5), x.T @ df.B / 9, rcond=None)[0])
+    assert two.rmse(tree.join(list("ABCD"))) == pytest.approx(float(np.sqrt(np.mean((df.B - x @ two.theta) ** 2))))
+    assert wide.rmse(tree.join(list("ABCD"))) == pytest.approx(float(np.sqrt(np.mean((df.B - np.column_stack([np.ones(9), df.A, df.D, df.C == 1, df.C == 2]) @ wide.theta) ** 2))))
     empty = tree.replace("U", tree.frame("U").limit(0))
     assert regression.fit(empty, "B", ["A"]) is None and trees.grow(empty, "B", {"A": [1]}, []) is None and kmeans.fit(empty, ["A"], []) is None
     assert moments.count_join(empty).first().n in (None, 0)
@@ -114,8 +122,8 @@ def test_conf_errors(tmp_path, example):
         AggregateBatch(tree).add(Query(["nope"], [count()]))
 
 
-def random_tree(spark, rng):
-    """A random tree of up to four relations with random small tables; repeated rows and dangling keys included."""
+def random_tree(spark, rng, nulls):
+    """A random tree of up to four relations with random small tables; repeated rows, dangling keys and nulls in any column included."""
     n, attribute = rng.randint(1, 4), 0
     columns, edges = {}, []
     for i in range(n):
@@ -130,15 +138,15 @@ def random_tree(spark, rng):
         columns[f"r{i}"] = own
     relations = {}
     for name, own in columns.items():
-        rows = [tuple(rng.randint(0, 2) for _ in own) for _ in range(rng.randint(3, 9))]
+        rows = [tuple(rng.choice([0, 1, 2, 2, None]) if nulls else rng.randint(0, 2) for _ in own) for _ in range(rng.randint(3, 9))]
         relations[name] = Relation(name, own, spark.createDataFrame(rows, ", ".join(f"{c} long" for c in own)))
     return JoinTree(relations, edges)
 
 
-@pytest.mark.parametrize("seed", range(8))
-def test_plans_agree(spark, seed):
+@pytest.mark.parametrize("seed", range(12))
+def test_plans_agree(spark, seed, tmp_path):
     rng = random.Random(seed)
-    tree = random_tree(spark, rng)
+    tree = random_tree(spark, rng, seed % 2)
     names = tree.columns()
     batch = AggregateBatch(tree)
     for _ in range(2):
@@ -150,16 +158,18 @@ def test_plans_agree(spark, seed):
         batch.add(Query(rng.sample(names, rng.randint(0, min(2, len(names)))), [count(), *sums], rng.choice([None, *tree.relations])))
     con = duckdb.connect()
     for name in tree.relations:
-        own = tree.frame(name).toPandas()  # noqa: F841
+        own = tree.frame(name).toArrow()  # noqa: F841
         con.execute(f"CREATE TABLE {name} AS SELECT * FROM own")
     by_sql = [con.execute(s).fetchall() for s in batch.to_sql("flat")]
     rows = lambda r: sorted([tuple(None if v is None else float(v) for v in x) for x in r], key=str)
     for s in batch.to_sql("views"):
         con.execute(s)
-    for q, flat, views, want in zip(batch.queries, batch.execute("flat"), batch.execute("views"), by_sql):
-        flat, views = rows(map(tuple, flat.collect())), rows(map(tuple, views.collect()))
+    by_views = [con.execute(f"SELECT {', '.join([*q.group_by, *names])} FROM view_{v}").fetchall() for q, (v, names) in zip(batch.queries, batch.plan().results)]
+    written = batch.execute("views", folder=str(tmp_path / "out"))
+    for q, flat, views, once, by_view, want in zip(batch.queries, batch.execute("flat"), batch.execute("views"), written, by_views, by_sql):
+        flat, views, once = (rows(map(tuple, x.collect())) for x in (flat, views, once))
         if q.group_by or want[0][0]:
-            assert flat == views == rows(want)
+            assert flat == views == once == rows(want) == rows(by_view)
     stats = batch.stats()
     assert stats["queries"] == 2 and stats["views"] >= len(tree.relations)
 
@@ -172,7 +182,7 @@ def test_views_share_and_push_down(spark):
     assert batch.stats()["shared"] > 0 and batch.strategy(UNIQUE) == "views" and AggregateBatch(star(spark, "/root/testdata/sf0.001")).strategy(UNIQUE) == "flat"
     plan = AggregateBatch(tree).add(Query(["mktsegment"], [agg("s", (f.x("quantity"), f.x("value")))])).execute("views")[0]
     text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "l_comment" not in text and "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_quantity:double>" in text
+    assert "l_comment" not in text and "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in text and "p_size" not in text
     filtered = trees.under(tree, [trees.Condition("p_size", "<=", 5)]).join(["p_size"])
     assert "PushedFilters" in filtered._jdf.queryExecution().executedPlan().toString()
 
@@ -194,10 +204,76 @@ def test_kmeans_on_grid(spark):
     rows = [(i % 3 * 10.0 + (i % 2) * 0.5, "abcd"[i % 4], i) for i in range(60)] + [(None, "a", 99)]
     tree = JoinTree({"r": Relation("r", ["x", "c", "i"], spark.createDataFrame(rows[:-1], "x double, c string, i long"))}, [])
     m = kmeans.fit(tree, ["x"], ["c"], k=3, kappa=3, seed=1)
+    spread = kmeans.fit(tree, ["x"], ["c"], k=3, kappa=3, seed=1, driver_cells=0)
+    for a, b in zip(m.centroids, spread.centroids):
+        assert a["x"] == pytest.approx(b["x"]) and a["c"] == pytest.approx(b["c"])
     assert len(m.centroids) == 3 and all(abs(sum(c["c"].values()) - 1) < 1e-9 for c in m.centroids)
     df = tree.join(["x", "c"])
     assert m.evaluate(df) == pytest.approx(sum(r.cost for r in m.assign(df).collect()))
     assert kmeans.grid(tree, m.clusters).agg(F.sum("weight")).first()[0] == 60
+    # by hand: one-hot values against shares, the rest's by their weights
+    own, weights = m.clusters[1].own, {r.value: r.p for r in m.clusters[1].rest.collect()}
+    for r in m.assign(df).collect():
+        costs = []
+        for c in m.centroids:
+            full = {v: c["c"][v] for v in own} | {v: c["c"][kmeans.REST] * p for v, p in weights.items()}
+            costs.append((r.x - c["x"]) ** 2 + sum(((v == r.c) - p) ** 2 for v, p in full.items()))
+        assert r.cost == pytest.approx(min(costs)) and costs[r.cluster] == pytest.approx(min(costs))
+
+
+def test_intervals_over_many_values_are_exact(spark):
+    rng = np.random.default_rng(4)
+    x = np.unique(np.round(rng.gamma(2.0, 5000.0, 30_000), 2))
+    w = rng.integers(1, 4, len(x)).astype(float)
+
+    def cost(starts):
+        return sum((w[a:b] * (x[a:b] - np.average(x[a:b], weights=w[a:b])) ** 2).sum() for a, b in zip(starts, [*starts[1:], len(x)]))
+
+    # the plain recurrence, row by row
+    k, s = 3, [np.concatenate([[0.0], np.cumsum(w * (x - x.mean()) ** p)]) for p in range(3)]
+    sse = lambda i, j: s[2][j + 1] - s[2][i] - (s[1][j + 1] - s[1][i]) ** 2 / (s[0][j + 1] - s[0][i])
+    row = sse(np.zeros(len(x), int), np.arange(len(x)))
+    for c in range(1, k):
+        row = np.array([(row[c - 1 : j] + sse(np.arange(c, j + 1), j)).min() if j >= c else np.inf for j in range(len(x))])
+    got = kmeans.optimal_1d(x, w, k)
+    assert cost(got) == pytest.approx(row[-1])
+    rows = [(float(a), int(n)) for a, n in zip(x, w) for _ in range(1)]
+    tree = JoinTree({"r": Relation("r", ["v", "n"], spark.createDataFrame(rows, "v double, n int").withColumn("n", F.explode(F.sequence(F.lit(1), F.col("n")))))}, [])
+    exact, binned = kmeans.cluster_continuous(tree, "v", k), kmeans.cluster_continuous(tree, "v", k, bins=500)
+    assert exact.firsts == x[got].tolist()
+    at = lambda c: np.searchsorted(x, c.firsts).tolist()
+    assert cost(got) <= cost(at(binned)) < 1.001 * cost(got)
+    with pytest.raises(ValueError):
+        kmeans.cluster_continuous(tree, "v", k, driver_values=10)
+
+
+def test_one_scan_of_the_fact_table(spark):
+    """Also of every other relation: whatever a batch asks for, it reads each once."""
+    from sumweave.plans.testdata import star
+
+    tree = star(spark, "/root/testdata/sf0.001")
+    cont, cat = ["quantity", "p_size", "acctbal"], ["returnflag", "mktsegment", "orderstatus"]
+    th = {"quantity": [10.0, 20.0], "p_size": [10]}
+    frames = [moments.covariance(tree, cont, cat, s) for s in ("flat", "views")]
+    frames += [moments.pair_counts(tree, cat), moments.mutual_information(tree, cat), moments.histograms(tree, cont)]
+    frames += [trees.candidates(tree, "totalprice", th, cat), trees.candidates(tree, "returnflag", th, cat[1:], classify=True)]
+    for df in frames:
+        df.collect()
+        text = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        scans = re.findall(r"FileScan parquet \[(\w)_", text)
+        assert scans and max(scans.count(c) for c in scans) == 1 and "NestedLoop" not in text and "CartesianProduct" not in text
+
+
+def test_declared_keys_leave_relations_out(spark):
+    from sumweave.plans.testdata import star
+
+    tree = star(spark, "/root/testdata/sf0.001")
+    text = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text(tree.join(["quantity"])) and text(tree.join(["n_name"])).count("Join ") == 3
+    few = tree.replace("nation_r", tree.frame("nation_r").filter("nationkey < 5"))
+    n = moments.count_join(few, "flat").first().n
+    assert 0 < n == moments.count_join(few, "views").first().n < moments.count_join(tree).first().n
+    assert n == few.join(["quantity", "n_name"]).count()
 
 
 def test_grow_fits_a_step(spark):
@@ -224,6 +300,44 @@ def test_command_line(example, tmp_path, spark, capsys, monkeypatch):
     assert run(spark, "ctree", tree, [sources.Feature("B", 1, "R"), sources.Feature("A", 1, "R"), sources.Feature("D", 0, "S")]).count() == 1
     with pytest.raises(ValueError):
         run(spark, "ctree", tree, features)
+    capsys.readouterr()
+    main(["--info"])
+    assert "Spark" in capsys.readouterr().out
+    held_out = tmp_path / "test_data.tbl"
+    held_out.write_text("1|1|1|1|2|1\n2|1|2|1|1|1\n")
+    main(["--path", path, "--model", "reg", "--test", str(held_out), "--times", str(tmp_path / "times.txt")])
+    fitted = regression.fit(tree, "B", list("ACDEF"))
+    x = np.array([[1, 1, 1, 1, 2, 1], [1, 2, 2, 1, 1, 1]]) @ fitted.theta
+    told = float(re.search(r"RMSE: (\S+)", capsys.readouterr().out)[1])
+    assert told == pytest.approx(float(np.sqrt(np.mean((x - 1) ** 2))))
+    assert re.fullmatch(r"load=\d+\trun=\d+\tevaluate=\d+\n", (tmp_path / "times.txt").read_text())
+    for model in ("rtree", "kmeans"):
+        main(["--path", path, "--model", model, "--test", str(held_out)])
+        assert re.search(r"(RMSE|cost): [0-9.]+", capsys.readouterr().out)
+    main(["--path", path, "--dump", str(tmp_path / "d"), "--decimals", "2", "--sql", str(tmp_path / "sql"), "--mo", "0", "--parallel", "task", "--compress", "0"])
+    assert "scalars" in capsys.readouterr().out
+    from sumweave.plans import batch
+
+    batch.COMPRESS = True
+    assert spark.read.text(str(tmp_path / "d/query_0.header")).first().value == "0 28"
+    line = spark.read.text(str(tmp_path / "d/query_0.tbl")).first().value.split("|")
+    assert line[:3] == ["9.00", "11.00", "12.00"]
+    assert (tmp_path / "sql/load_data.sql").read_text().startswith("DROP TABLE") and "ORDER BY" not in (tmp_path / "sql/output.sql").read_text()
+    con = duckdb.connect()
+    for name, own in ROWS.items():
+        con.execute(f"CREATE TABLE {name} ({', '.join(f'{c} int' for c in tree.relations[name].columns)})")
+        con.execute(f"INSERT INTO {name} VALUES {', '.join('(' + r.replace('|', ',') + ')' for r in own.split())}")
+    con.execute((tmp_path / "sql/views.sql").read_text())
+    main(["--path", path, "--bench_individual"])
+    assert " ms" in capsys.readouterr().out
+
+
+def test_dump_is_ordered(spark, example, tmp_path):
+    _, tree = example
+    batch = AggregateBatch(tree).add(Query(["A", "C"], [count(), agg("s", f.x("B"))])).add(Query([], [count()]))
+    sources.dump(batch, str(tmp_path), "views", 2)
+    assert [r.value for r in spark.read.text(f"{tmp_path}/query_0.tbl").collect()] == ["1|1|4.00|4.00", "1|2|2.00|4.00", "2|2|3.00|3.00"]
+    assert spark.read.text(f"{tmp_path}/query_0.header").first().value == "2 2"
 
 
 def test_stream_of_rows(spark, example, tmp_path):
