@@ -125,10 +125,9 @@ def histogram(tree: JoinTree, attribute: str, strategy: str = "flat") -> DataFra
 
 
 def histograms(tree: JoinTree, attributes: list[str]) -> DataFrame:
-    """feature, x (double), n: how often each value stands in the join, of all attributes in one pass; no nulls."""
-    df = tree.join(attributes)
-    values = F.explode(F.array(*(F.struct(F.lit(a).alias("feature"), F.col(a).cast("double").alias("x")) for a in attributes))).alias("v")
-    return df.select(values).select("v.*").filter("x IS NOT NULL").groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
+    """feature (its place in ``attributes``), x (double), n: how often each value stands in the join, of all attributes in one pass; no nulls."""
+    values = F.explode(F.array(*(F.struct(F.lit(i).alias("feature"), F.col(a).cast("double").alias("x")) for i, a in enumerate(attributes)))).alias("v")
+    return tree.join(attributes).select(values).select("v.*").filter("x IS NOT NULL").groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
 
 
 def running_counts(histogram: DataFrame, blocks: int = 64) -> DataFrame:
@@ -156,7 +155,8 @@ def percentiles(tree: JoinTree, attributes: list[str], parts: int = 20) -> DataF
     first = F.expr(f"(upto - n) * {parts} div total") + 1
     last = F.least(F.expr(f"upto * {parts} div total"), F.lit(parts - 1).cast("long"))
     cuts = counted.withColumns({"first": first, "last": last}).filter("first <= last")
-    return cuts.select("feature", F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))).alias("i"), F.col("x").alias("cut"))
+    name = F.get(F.array(*(F.lit(a) for a in attributes)), F.col("feature"))
+    return cuts.select(name.alias("feature"), F.explode(F.sequence(F.col("first").cast("int"), F.col("last").cast("int"))).alias("i"), F.col("x").alias("cut"))
 
 
 def gradient_batch(tree: JoinTree, continuous: list[str], categorical: list[str], theta: dict, strategy: str = "flat") -> DataFrame:

@@ -27,6 +27,7 @@ from __future__ import annotations
 from collections import Counter
 from dataclasses import dataclass, field
 from functools import reduce
+from math import prod
 from operator import add
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +39,8 @@ from .schema import JoinTree
 Product = tuple[Function, ...]
 #: The column that tells which group-by set a row of a shared aggregation belongs to.
 SET = "__set"
+#: Up to so many combinations of all group-by attributes of a pass, sums are made for these first.
+COMBINATIONS = 100_000
 #: Whether products that differ below one edge only are added there (else each has sums of its own).
 COMPRESS = True
 
@@ -117,8 +120,17 @@ def _total(terms: list[Column], mask: Column | None = None) -> Column:
     return F.when(F.coalesce(*sums).isNotNull(), reduce(add, (F.coalesce(s, F.lit(0)) for s in sums)))
 
 
-def _sets(df: DataFrame, sets: list[tuple[tuple[str, ...], dict[str, tuple[list[Column], str | None]]]]) -> DataFrame:
-    """One aggregation of ``df`` for several sets (group-by attributes; name -> terms, type)."""
+def _sets(df: DataFrame, sets: list[tuple[tuple[str, ...], dict[str, tuple[list[Column], str | None]]]], domains: dict[str, int]) -> DataFrame:
+    """One aggregation of ``df`` for several sets (group-by attributes; name -> terms, type).
+
+    Where few combinations of all attributes are known to exist, these are summed first and the
+    sets from their sums; else each row is marked with every set.  Partial sums combine before any shuffle in both.
+    """
+    every = list(dict.fromkeys(c for by, _ in sets for c in by))
+    if len(sets) > 1 and all(c in domains for c in every) and prod(domains[c] for c in every) <= COMBINATIONS:
+        sums = {n: terms for _, own in sets for n, (terms, _) in own.items()}
+        df = df.groupBy(*every).agg(*(_total(t).alias(n) for n, t in sums.items()))
+        sets = [(by, {n: ([F.col(n)], kind) for n, (_, kind) in own.items()}) for by, own in sets]
     if len(sets) == 1:
         by, sums = sets[0]
         out = df.groupBy(*by).agg(*(_typed(_total(t), k).alias(n) for n, (t, k) in sums.items()))
@@ -126,7 +138,7 @@ def _sets(df: DataFrame, sets: list[tuple[tuple[str, ...], dict[str, tuple[list[
     marked = df.withColumn(SET, F.explode(F.array(*(F.lit(i) for i in range(len(sets))))))
     within = lambda ids: None if len(ids) == len(sets) else F.col(SET).isin(*ids)
     keys = [SET]
-    for c in dict.fromkeys(c for by, _ in sets for c in by):
+    for c in every:
         mask = within([i for i, (by, _) in enumerate(sets) if c in by])
         keys.append(F.col(c) if mask is None else F.when(mask, F.col(c)).alias(c))
     wanted: dict[str, tuple[list[int], list[Column], str | None]] = {}
@@ -353,7 +365,7 @@ class AggregateBatch:
             places.append((list(sets).index(tuple(sorted(q.group_by))), columns))
         used = {c for by in sets for c in by} | {v for a in names for v in a.vars()}
         df = self.tree.join([c for c in self.tree.columns() if c in used])
-        return Shared(_sets(df, list(sets.items())), places, self.queries)
+        return Shared(_sets(df, list(sets.items()), self.tree.domains), places, self.queries)
 
     def _views(self, unique: frozenset[str]) -> Shared:
         plan = self.plan(unique)
@@ -365,7 +377,7 @@ class AggregateBatch:
             sets = [(v.group_by, {n: (t, types[n]) for n, t in plan.terms(v).items()}) for v in views]
             first = len(number)
             number |= {v.id: first + k for k, v in enumerate(views)}
-            part = _sets(plan.joined(views, made), sets)
+            part = _sets(plan.joined(views, made), sets, self.tree.domains)
             parts.append(part.withColumn(SET, F.col(SET) + first) if first else part)
         df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
         return Shared(df, [(number[v], names) for v, names in plan.results], self.queries)

@@ -38,6 +38,8 @@ class JoinTree:
     complete: those of them that have a match for every row of their parent; where none of
     their other attributes is asked for, they are left out of the join.  Both are declared by
     whoever knows the tables, as foreign keys are; nothing is assumed by default.
+    domains: at most how many values an attribute has, where that is known: batches grouped by few
+    values are summed once for all combinations.  A wrong number costs time, not rows.
     """
 
     relations: dict[str, Relation]
@@ -46,6 +48,7 @@ class JoinTree:
     attributes: dict[str, Attribute] = field(default_factory=dict)
     unique: frozenset[str] = frozenset()
     complete: frozenset[str] = frozenset()
+    domains: dict[str, int] = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if not self.relations:
@@ -157,7 +160,7 @@ class JoinTree:
         own = out.relations[relation]
         own.df, own.columns = own.df.withColumn(name, column if hasattr(column, "alias") else F.lit(column)), [*own.columns, name]
         out.attributes[name] = Attribute(len(out.attributes), name, type)
-        return JoinTree(out.relations, out.edges, out.root, out.attributes, out.unique, out.complete)
+        return JoinTree(out.relations, out.edges, out.root, out.attributes, out.unique, out.complete, out.domains)
 
     def replace(self, relation: str, df: DataFrame) -> JoinTree:
         """A tree with other rows in ``relation``, which is no longer known to have a match for every row of its parent."""
@@ -168,4 +171,4 @@ class JoinTree:
 
     def _copy(self) -> JoinTree:
         relations = {k: Relation(r.name, list(r.columns), r.df, r.threads) for k, r in self.relations.items()}
-        return JoinTree(relations, list(self.edges), self.root, dict(self.attributes), self.unique, self.complete)
+        return JoinTree(relations, list(self.edges), self.root, dict(self.attributes), self.unique, self.complete, self.domains)

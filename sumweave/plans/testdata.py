@@ -24,6 +24,9 @@ EDGES = [("lineitem_r", "orders_r"), ("orders_r", "customer_r"), ("customer_r",
 #: Relations whose columns shared with their parent are a key with a match for each of its rows (the oracle SQL joins them all, so it tests that).
 UNIQUE = {"orders_r", "customer_r", "nation_r", "region_r", "part_r", "supplier_r"}
 
+#: How many values these attributes have at most, null included (fixed values).
+DOMAINS = {"returnflag": 4, "linestatus": 3, "orderstatus": 4, "orderpriority": 6, "mktsegment": 6, "event_type": 10, "n_name": 26, "r_name": 6, "p_brand": 30, "p_size": 51}
+
 
 def star(spark: SparkSession, sf_dir: str, events: bool = False) -> JoinTree:
     edges = EDGES + ([("customer_r", "events_r")] if events else [])
@@ -33,7 +36,7 @@ def star(spark: SparkSession, sf_dir: str, events: bool = False) -> JoinTree:
         if name in names:
             df = spark.read.parquet(f"{sf_dir}/{table}.parquet").selectExpr(*(f"{e} AS {c}" for c, e in columns))
             relations[name] = Relation(name, [c for c, _ in columns], df)
-    return JoinTree(relations, edges, "lineitem_r", unique=frozenset(UNIQUE), complete=frozenset(UNIQUE))
+    return JoinTree(relations, edges, "lineitem_r", unique=frozenset(UNIQUE), complete=frozenset(UNIQUE), domains=DOMAINS)
 
 
 def tables() -> dict[str, str]:
@@ -45,4 +48,4 @@ def shape(events: bool = False) -> JoinTree:
     """The tree without data, for SQL."""
     edges = EDGES + ([("customer_r", "events_r")] if events else [])
     names = {n for e in edges for n in e}
-    return JoinTree({n: Relation(n, [c for c, _ in cols]) for n, (_, cols) in RELATIONS.items() if n in names}, edges, "lineitem_r", unique=frozenset(UNIQUE), complete=frozenset(UNIQUE))
+    return JoinTree({n: Relation(n, [c for c, _ in cols]) for n, (_, cols) in RELATIONS.items() if n in names}, edges, "lineitem_r", unique=frozenset(UNIQUE), complete=frozenset(UNIQUE), domains=DOMAINS)
