@@ -1,24 +1,25 @@
 """Helpers shared by the training-data operators.
 
 Every operator leaves out rows whose identifier is null (such a row cannot be
-reported) and reads only the columns it names, so extra columns never clash.
+reported) and reads only the columns it names, so extra columns never clash.  Texts that
+are no well-formed UTF-8 stop none of them: operators on words keep such bytes as they
+are, those on characters read them as U+FFFD.
 """
 
 from __future__ import annotations
 
-import atexit
 import ctypes
 import functools
 import gc
 import sys
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import cut as cut  # noqa: PLC0414  intermediate tables of all operators go there
+
 #: Word patterns of the operators' contracts (fixed values).
 BLANK_SEPARATED = r"[^\x20\x09-\x0D]+"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -29,40 +30,6 @@ ALNUM_TABLE = bytes(
 )
 
 
-def scratch(spark: SparkSession, label: str) -> str:
-    """A new path in the folder that driver and executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (single machine, tests) a temporary folder of this process is set.
-    What an application leaves there is removed when its driver ends.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        base = tempfile.mkdtemp(prefix="sumweave-")
-        spark.sparkContext.setCheckpointDir(base)
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-    except Exception:  # noqa: BLE001  the session is gone; its folder goes with it
-        return
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends here."""
-    path = scratch(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -72,6 +39,11 @@ def content_key(*columns: str):
     return F.xxhash64(*columns)
 
 
+def texts_of(column: pa.Array) -> list[str | None]:
+    """The texts of a string column; bytes that are no UTF-8 are read as U+FFFD."""
+    return [None if b is None else b.decode("utf-8", "replace") for b in column.cast(pa.binary()).to_pylist()]
+
+
 def frugal(run):
     """``run`` over batches, and what it held given back to the machine: idle Python workers stay small."""
 

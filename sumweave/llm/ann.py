@@ -3,30 +3,37 @@
 Fitting (driver, on at most ``fit_rows`` distinct vectors, taken by the smallest hashes
 of their ids, so the sample follows all data): a graph of each sampled vector's nearest
 neighbours is cut into balanced parts by label moves under a size bound; a softmax
-classifier then learns each vector's part from its direction.  Indexing: every vector
-goes to its most probable part.  Searching: each query goes to its ``probes`` most
-probable parts and is reranked there by exact cosine in double precision.
+classifier then learns each vector's part from its direction.  An eighth of the sample is kept from the
+classifier: the number of parts to probe is the least that finds ``recall`` of these vectors' sampled neighbours, so
+it is small where vectors cluster and large where they don't.  Indexing: every vector
+goes to its most probable part.  Searching: each query goes to its most probable parts and is reranked
+there by exact cosine in double precision.
 
-Parts are cut into blocks of bounded size, of vectors and of queries alike, so a part
-that holds a third of all rows is searched by as many tasks as it has blocks.  Blocks
-give their best ``k`` for each query; these are merged.
+The number of parts grows with the square root of the table, up to what the sample can teach.  Vectors and queries of a
+part are packed into blocks of bounded size, so a part that holds a third of all rows is searched by many tasks:
+a slice of a part's vector blocks is one key, no vector is copied, and each query block is copied once a slice.  A task
+keeps the best ``k`` of each query over its slice; these are merged, again ``k`` at a time.
 
 Edges: vectors that are null, of another length than most, zero, or hold null or
 non-finite components take no part; fewer vectors than parts give fewer parts; equal
 scores go to the smaller id; of repeated ids each row is a candidate but a query never
 finds its own id; rows with a null id are left out; exact repeats of a query row (id and vector)
 are one query; equal query ids with other vectors are queries of their own, each with
-its ranks 1 to k under the shared id.
+its ranks 1 to k under the shared id; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import cut
+from ._common import cut, frugal
+
+#: Vector blocks of one key.
+SLICE = 16
 
 
 def usable(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -116,21 +123,44 @@ def train_router(x: np.ndarray, part: np.ndarray, parts: int, epochs: int = 30,
     return w[:-1], w[-1]
 
 
-def fit(vectors: DataFrame, parts: int = 16, fit_rows: int = 8192, neighbours: int = 10) -> tuple[np.ndarray, np.ndarray, int] | None:
-    """Router (weights, bias) and the vectors' length; None if no vector takes part."""
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def needed_probes(x: np.ndarray, near: np.ndarray, held: np.ndarray, w: np.ndarray, bias: np.ndarray, recall: float) -> int:
+    """How many parts hold ``recall`` of the held rows' neighbours, if each row lies in its most probable part."""
+    odds = x @ w + bias
+    order = np.argsort(-odds, axis=1, kind="stable")
+    place = np.argsort(order[held], axis=1, kind="stable")  # of each part in a held row's order
+    at = np.take_along_axis(place, order[:, 0][near[held]], axis=1)
+    found = np.cumsum(np.bincount(at.ravel(), minlength=w.shape[1])) / at.size
+    return int(np.searchsorted(found, recall - 1e-12)) + 1
+
+
+def fit(
+    vectors: DataFrame, parts: int | None = None, probes: int | None = None, recall: float = 0.97, fit_rows: int = 8192, neighbours: int = 10
+) -> tuple[np.ndarray, np.ndarray, int, int] | None:
+    """Router (weights, bias), the vectors' length and the number of parts to probe; None if no vector takes part.
+
+    parts: if not given, the square root of the number of vectors over 14, from 16 to a 64th of the sample.
+    """
     sample = vectors.select("vec", F.xxhash64("id").alias("h")).orderBy("h").limit(fit_rows).collect()
     if not sample:
         return None
+    if parts is None:
+        parts = min(max(16, int(vectors.count() ** 0.5 / 14)), max(16, fit_rows // 64))
     length = pd.Series([len(r["vec"]) for r in sample]).mode()[0]
-    x = np.unique(np.array([r["vec"] for r in sample if len(r["vec"]) == length]), axis=0)
-    x /= np.abs(x).max(1, keepdims=True)
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = unit_rows(np.unique(np.array([r["vec"] for r in sample if len(r["vec"]) == length]), axis=0))
     parts = max(1, min(parts, len(x) // 8))
     if parts == 1:
-        return np.zeros((length, 1)), np.zeros(1), int(length)
+        return np.zeros((length, 1)), np.zeros(1), int(length), 1
     near = neighbour_graph(x, min(neighbours, len(x) - 1))
     part = balanced_parts(x, near, parts)
-    return *train_router(x, part, parts), int(length)
+    held = np.zeros(len(x), bool)
+    held[np.random.default_rng(7).permutation(len(x))[: len(x) // 8]] = True
+    w, bias = train_router(x[~held], part[~held], parts)
+    return w, bias, int(length), probes or needed_probes(x, near, np.flatnonzero(held), w, bias, recall)
 
 
 def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -139,78 +169,103 @@ def cosine(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (a * b).sum(1) / (np.sqrt((a * a).sum(1)) * np.sqrt((b * b).sum(1)))
 
 
-def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, query_keys: np.ndarray | None = None) -> pd.DataFrame:
-    """The k nearest of each query in one block; ties to the smaller id; query_keys tell queries of equal ids apart."""
-    query_keys = np.zeros(len(q), np.int64) if query_keys is None else query_keys
-    unit = lambda m: (y := m / np.abs(m).max(1, keepdims=True)) / np.sqrt((y * y).sum(1, keepdims=True))
-    xu, qu = unit(x), unit(q)
-    out = []
+def search_block(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k nearest of each query in one block, ties to the smaller id: the query's row, vec_id, score."""
+    xu, qu = unit_rows(x), unit_rows(q)
+    rows, found, scores = [], [], []
     for at in range(0, len(q), 256):
         s = qu[at : at + 256] @ xu.T
         s[query_ids[at : at + 256, None] == ids[None, :]] = -np.inf
-        floor = np.partition(s, max(0, s.shape[1] - k), axis=1)[:, max(0, s.shape[1] - k)]
-        for r in range(len(s)):
-            # The product's last bits depend on a row's place: all near the k-th are scored anew.
-            near = np.flatnonzero((s[r] >= floor[r] - 1e-9) & (s[r] > -np.inf))
-            score = cosine(np.repeat(q[at + r : at + r + 1], len(near), 0), x[near])
-            best = np.lexsort((ids[near], -score))[:k]
-            out.append(pd.DataFrame({"query_id": query_ids[at + r], "query_key": query_keys[at + r], "vec_id": ids[near][best], "score": score[best]}))
-    return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "query_key": [], "vec_id": [], "score": []})
+        last = max(0, s.shape[1] - k)
+        floor = np.partition(s, last, axis=1)[:, last]
+        # The product's last bits depend on a row's place: all near the k-th are scored anew.
+        r, c = np.nonzero((s >= floor[:, None] - 1e-9) & (s > -np.inf))
+        score = cosine(q[at + r], x[c])
+        order = np.lexsort((ids[c], -score, r))
+        r, c, score = r[order], c[order], score[order]
+        keep = np.arange(len(r)) - np.searchsorted(r, r) < k
+        rows.append(at + r[keep])
+        found.append(ids[c[keep]])
+        scores.append(score[keep])
+    return np.concatenate(rows), np.concatenate(found), np.concatenate(scores)
+
+
+def _best(rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each row."""
+    order = np.lexsort((ids, -scores, rows))
+    rows, ids, scores = rows[order], ids[order], scores[order]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+    return rows[keep], ids[keep], scores[keep]
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int = 16, probes: int = 12, fit_rows: int = 8192, block: int = 4096) -> DataFrame:
+def blocks(routed: DataFrame, block: int, label: str) -> DataFrame:
+    """part, number, ids, keys, vecs (of about ``block`` rows, packed) of rows id, key, vec, part."""
+    placed = cut(routed, label)
+    # A row for each part.  By place in the written table: equal rows spread as well as others.
+    counts = F.broadcast(placed.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / block).alias("blocks")))
+    dealt = placed.withColumn("at", F.monotonically_increasing_id()).join(counts, "part").withColumn("number", F.pmod(F.xxhash64("at"), F.col("blocks")))
+
+    def packed(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        own = (f["id"].to_numpy(np.int64).tobytes(), f["key"].to_numpy(np.int64).tobytes(), np.array(f["vec"].tolist(), np.float64).tobytes())
+        return pd.DataFrame([(*key, *own)], columns=["part", "number", "ids", "keys", "vecs"])
+
+    rows = dealt.select("id", "key", "vec", "part", "number").groupBy("part", "number").applyInPandas(packed, "part int, number long, ids binary, keys binary, vecs binary")
+    return cut(rows, f"{label}-blocks")
+
+
+def search(
+    vectors: DataFrame, queries: DataFrame, k: int = 5, parts: int | None = None, probes: int | None = None, recall: float = 0.97, fit_rows: int = 8192, block: int = 4096
+) -> DataFrame:
     """query_id, rank, vec_id, score for each distinct query row's k nearest; both inputs: id, vec."""
     spark = vectors.sparkSession
-    model = fit(vectors, parts, fit_rows)
+    model = fit(vectors, parts, probes, recall, fit_rows)
     schema = "query_id long, rank int, vec_id long, score double"
     if model is None:
         return spark.createDataFrame([], schema)
-    w, bias, length = model
+    w, bias, length, probes = model
 
     def route(probes: int):
         def run(frames):
             for f in frames:
                 f = f[f["vec"].map(len) == length]
                 if len(f):
-                    x = np.array(f["vec"].tolist())
-                    x /= np.abs(x).max(1, keepdims=True)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    best = np.argsort(-(x @ w + bias), axis=1, kind="stable")[:, :probes]
-                    yield pd.DataFrame({"id": f["id"].to_numpy(), "vec": f["vec"].to_numpy(), "parts": best.astype(np.int32).tolist()})
+                    best = np.argsort(-(unit_rows(np.array(f["vec"].tolist())) @ w + bias), axis=1, kind="stable")[:, :probes]
+                    yield pd.DataFrame({"id": f["id"].to_numpy(), "key": f["key"].to_numpy(), "vec": f["vec"].to_numpy(), "parts": best.astype(np.int32).tolist()})
 
         return run
 
     def routed(df: DataFrame, probes: int) -> DataFrame:
-        return df.mapInPandas(route(probes), "id long, vec array<double>, parts array<int>").select("id", "vec", F.explode("parts").alias("part"))
+        keyed = df.select("id", F.xxhash64("vec").alias("key"), "vec")
+        return keyed.mapInPandas(route(probes), "id long, key long, vec array<double>, parts array<int>").select("id", "key", "vec", F.explode("parts").alias("part"))
 
-    index, asked = cut(routed(vectors, 1), "ann-index"), cut(routed(queries.dropDuplicates(["id", "vec"]), probes), "ann-queries")
-    # A row for each part: at most ``parts``.
-    blocks = lambda df: {r["part"]: -(-r["n"] // block) for r in df.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    held, wanted = blocks(index), blocks(asked)
+    held = blocks(routed(vectors, 1), block, "ann-index")
+    asked = blocks(routed(queries.dropDuplicates(["id", "vec"]), probes), block, "ann-queries")
+    slices = held.groupBy("part").agg(F.floor(F.max("number") / SLICE).alias("last"))  # a row a part
+    left = asked.join(F.broadcast(slices), "part").select("part", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("slice"), "number", "ids", "keys", "vecs")
+    right = held.select("part", F.floor(F.col("number") / SLICE).alias("slice"), F.col("ids").alias("x_ids"), F.col("vecs").alias("x_vecs"))
+    pairs = left.join(right.hint("merge"), ["part", "slice"]).select("part", "slice", "number", "ids", "keys", "vecs", "x_ids", "x_vecs")
 
-    def number(counts: dict[int, int]):
-        """How many blocks the row's part has."""
-        return F.coalesce(F.element_at(F.create_map(*(F.lit(int(v)) for kv in counts.items() for v in kv)), F.col("part")), F.lit(1))
+    def compare(batches):
+        now, held_ids, held_keys, kept = None, None, None, None
 
-    if not held or not wanted:
-        return spark.createDataFrame([], schema)
-    own = lambda counts: F.pmod(F.xxhash64("id", "part"), number(counts)).cast("int")
-    all_of = lambda counts: F.explode(F.sequence(F.lit(0), number(counts) - 1))
-    asked = asked.withColumn("query_key", F.xxhash64("vec"))
-    x = index.withColumn("xb", own(held)).select("*", all_of(wanted).alias("qb"))
-    q = asked.filter(F.col("part").isin([int(p) for p in held])).withColumn("qb", own(wanted)).select("*", all_of(held).alias("xb"))
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "query_key": [], "vec_id": [], "score": []})
-        return search_block(a["id"].to_numpy(np.int64), np.array(a["vec"].tolist()), b["id"].to_numpy(np.int64), np.array(b["vec"].tolist()), k, b["query_key"].to_numpy(np.int64))
-
-    keys = ["part", "xb", "qb"]
-    found = x.groupBy(*keys).cogroup(q.groupBy(*keys)).applyInPandas(meet, "query_id long, query_key long, vec_id long, score double")
-    # At most k rows of a query from each of its blocks.
-    best = found.groupBy("query_id", "query_key").agg(
-        F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, k).alias("best")
-    )
-    return best.select("query_id", F.posexplode("best").alias("at", "b")).select(
-        "query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score")
-    )
+        def told():
+            rows, ids, scores = kept
+            return pa.record_batch([pa.array(held_ids[rows]), pa.array(held_keys[rows]), pa.array(ids), pa.array(scores)], names=["query_id", "query_key", "vec_id", "score"])
+
+        for b in batches:
+            for r in range(b.num_rows):
+                part, at, number = (b.column(i)[r].as_py() for i in range(3))
+                ids, keys, vecs, x_ids, x_vecs = (np.frombuffer(b.column(i)[r].as_buffer(), t) for i, t in zip(range(3, 8), (np.int64, np.int64, np.float64, np.int64, np.float64)))
+                found = search_block(x_ids, x_vecs.reshape(-1, length), ids, vecs.reshape(-1, length), k)
+                if now != (part, at, number):
+                    if now is not None:
+                        yield told()
+                    now, held_ids, held_keys, kept = (part, at, number), ids.copy(), keys.copy(), found
+                else:
+                    kept = _best(*(np.concatenate(x) for x in zip(kept, found)), k)
+        if now is not None:
+            yield told()
+
+    found = pairs.mapInArrow(frugal(compare), "query_id long, query_key long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -8,7 +8,8 @@ about ``group`` pieces, whatever document they belong to; each group is packed b
 and wastes at most a window or so more than one packing of everything.
 
 Edges: a null text counts as empty; an empty text is its end token; repeated rows are
-packed each; rows with a null doc_id are left out; an empty table gives no sequence.
+packed each; rows with a null doc_id are left out; ill-formed UTF-8 is read as U+FFFD; an empty
+table gives no sequence.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut, frugal
+from ._common import cut, frugal, texts_of
 
 #: Words whose ids a task keeps at most.
 CACHE = 500_000
@@ -128,7 +129,7 @@ def pieces(docs: DataFrame, tokenizer: str, window: int = 2048, end: int = 1, wi
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 rows = []
-                for doc, ids in zip(part.column(0).to_pylist(), ids_of(part.column(1).to_pylist())):
+                for doc, ids in zip(part.column(0).to_pylist(), ids_of(texts_of(part.column(1)))):
                     data = ids + last
                     total = len(data) // 4
                     for start in range(0, total, window):

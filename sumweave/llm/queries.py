@@ -129,12 +129,18 @@ QUERIES = {
     )
 }
 
-_DOMAIN_HOST = "regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', '')"
-_TWO = ", ".join(f"'{x}'" for x in url_reputation.TWO_LABEL_SUFFIXES)
+_NAME = "regexp_replace(regexp_replace(host, '(?s)^.*@', ''), ':[0-9]*$', '')"
 
 
 def _tail(n: int) -> str:
-    return f"array_to_string(string_split({_DOMAIN_HOST}, '.')[-{n}:], '.')"
+    return f"array_to_string(string_split(name, '.')[-{n}:], '.')"
+
+
+_ADDRESS = r"regexp_matches(name, '^(\[.*\]|[0-9]+(\.[0-9]+){3})$')"
+_PUBLIC = (
+    f"({_tail(2)} IN ({', '.join(repr(x) for x in url_reputation.HOSTING)}) OR regexp_matches({_tail(1)}, '^[a-z]{{2}}$') "
+    f"AND contains(name, '.') AND string_split({_tail(2)}, '.')[1] IN ({', '.join(repr(x) for x in url_reputation.SECOND_LEVEL)}))"
+)
 
 
 def _rules(column: int) -> str:
@@ -146,8 +152,8 @@ def _rules(column: int) -> str:
 
 
 def _weight(table: str) -> str:
-    return f"""(SELECT CASE WHEN coalesce(room, 0) = 0 OR seen <= noise THEN 1000.0 ELSE least(greatest(room / (seen - noise) - 1, 1.0), 1000.0) END FROM (
-        SELECT sum((bad / n - prior) * (bad / n - prior)) AS seen, sum(prior * (1 - prior) / n) AS noise, sum(prior * (1 - prior) * (1 - 1.0 / n)) AS room
+    return f"""(SELECT CASE WHEN coalesce(room, 0) = 0 OR seen <= noise THEN most ELSE least(greatest(room / (seen - noise) - 1, 1.0), most) END FROM (
+        SELECT sum((bad / n - prior) * (bad / n - prior)) AS seen, sum(prior * (1 - prior) / n) AS noise, sum(prior * (1 - prior) * (1 - 1.0 / n)) AS room, greatest(10.0, coalesce(avg(n), 0.0)) AS most
         FROM {table} WHERE n > 0))"""
 
 
@@ -159,19 +165,20 @@ WITH split AS (
   SELECT page_id, CASE WHEN has THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
     CASE WHEN has THEN regexp_extract(rest, '(?s)^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM split
 ), marks AS (SELECT doc_id, count(*) AS n, sum(toxic) AS bad FROM labels WHERE doc_id IS NOT NULL AND toxic IS NOT NULL GROUP BY doc_id
+), counted AS (
+  SELECT host, CAST(sum(coalesce(n, 0)) AS DOUBLE) AS n, CAST(sum(coalesce(bad, 0)) AS DOUBLE) AS bad, {_NAME} AS name FROM own LEFT JOIN marks ON page_id = doc_id GROUP BY host
 ), hosts AS (
-  SELECT host, CAST(sum(coalesce(n, 0)) AS DOUBLE) AS n, CAST(sum(coalesce(bad, 0)) AS DOUBLE) AS bad,
-    CASE WHEN {_tail(2)} IN ({_TWO}) THEN {_tail(3)} ELSE {_tail(2)} END AS domain,
-    CASE WHEN {_tail(2)} IN ({_TWO}) THEN {_tail(2)} ELSE {_tail(1)} END AS suffix
-  FROM own LEFT JOIN marks ON page_id = doc_id GROUP BY host
-), s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT (coalesce(sum(bad), 0) + CAST(0.05 AS DOUBLE)) / (coalesce(sum(n), 0) + CAST(1.0 AS DOUBLE)) FROM hosts) AS prior FROM hosts GROUP BY suffix
+  SELECT host, n, bad, CASE WHEN {_ADDRESS} THEN name WHEN {_PUBLIC} THEN {_tail(3)} ELSE {_tail(2)} END AS domain,
+    CASE WHEN {_ADDRESS} THEN '{url_reputation.ADDRESS}' WHEN {_PUBLIC} THEN {_tail(2)} ELSE {_tail(1)} END AS suffix FROM counted
+), rate AS (SELECT (coalesce(sum(bad), 0) + CAST(0.05 AS DOUBLE)) / (coalesce(sum(n), 0) + CAST(1.0 AS DOUBLE)) AS overall FROM hosts
+), s0 AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad, (SELECT overall FROM rate) AS prior FROM hosts GROUP BY suffix
 ), s1 AS (SELECT suffix, (bad + prior * w) / (n + w) AS mean FROM s0, (SELECT {_weight('s0')} AS w)
 ), d0 AS (SELECT h.suffix, domain, sum(n) AS n, sum(bad) AS bad, any_value(mean) AS prior FROM hosts h JOIN s1 ON h.suffix = s1.suffix GROUP BY h.suffix, domain
-), d1 AS (SELECT domain, (bad + prior * w) / (n + w) AS mean FROM d0, (SELECT {_weight('d0')} AS w)
-), h0 AS (SELECT host, n, bad, mean AS prior FROM hosts h JOIN d1 ON h.domain = d1.domain
+), d1 AS (SELECT suffix, domain, (bad + prior * w) / (n + w) AS mean FROM d0, (SELECT {_weight('d0')} AS w)
+), h0 AS (SELECT host, n, bad, mean AS prior FROM hosts h JOIN d1 ON h.suffix = d1.suffix AND h.domain = d1.domain
 ), h1 AS (SELECT host, (bad + prior * w) / (n + w) AS mean, n + w AS total FROM h0, (SELECT {_weight('h0')} AS w))
 SELECT page_id, own.host AS host, path, {_rules(0).replace('host', 'own.host')} AS rule,
-  coalesce({_rules(1).replace('host', 'own.host')}, CASE WHEN mean - sqrt(mean * (1 - mean) / (total + 1)) > 0.1 THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce({_rules(1).replace('host', 'own.host')}, CASE WHEN mean - sqrt(mean * (1 - mean) / (total + 1)) > (SELECT overall FROM rate) THEN 'block' ELSE 'allow' END) AS verdict
 FROM own LEFT JOIN h1 ON own.host = h1.host""",
     "op3_fingerprint_index": r"""
 WITH w AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS words FROM documents WHERE doc_id IS NOT NULL

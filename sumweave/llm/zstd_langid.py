@@ -8,12 +8,14 @@ A text is rejected if it is null, has no letter, or its margin is narrow (below
 ``min_margin``).
 
 The dictionaries come from at most ``per_language`` labelled documents of each language,
-taken by the smallest hashes of their ids, and from at most ``sample_chars`` characters
-of each: a fitting sample only, every text is judged whole.
+taken whole by the smallest hashes of their texts (copies count once): a fitting sample only, every text is
+judged whole.  The driver holds that sample; a column of more than ``max_languages``
+languages (a dirty one, most likely) is refused with an error before anything is gathered.
 
 Edges: null or letterless texts give ``und``, score 0, rejected; ties go to the language
 first in the alphabet and have score 0; without labelled texts every text is ``und``;
-repeated rows are judged alike; rows with a null id are left out.
+repeated rows are judged alike; rows with a null id are left out; ill-formed UTF-8 is read as
+U+FFFD, which is no letter.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import frugal
+from ._common import frugal, texts_of
 
 UNKNOWN = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -36,20 +38,19 @@ def _letters(text: str) -> str:
     return _NO_LETTERS.sub(" ", text.lower())
 
 
-def fit(labelled: DataFrame, per_language: int = 96, sample_chars: int = 4000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
+def fit(labelled: DataFrame, per_language: int = 96, max_languages: int = 200, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
     """Dictionary bytes by language; a bounded sample of each language goes to the driver."""
     own = labelled.filter(F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    order = Window.partitionBy("lang").orderBy("h", "id")
-    picked = (
-        own.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"))
-        .withColumn("k", F.row_number().over(order))
-        .filter(F.col("k") <= per_language)
-        .select("h")
-    )
-    texts = own.select(F.xxhash64(id_col, text_col).alias("h"), F.col(lang_col).alias("lang"), F.substring(text_col, 1, sample_chars).alias("text"))
+    marks = own.select(F.xxhash64(text_col).alias("h"), F.col(lang_col).alias("lang"))
+    if marks.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
+        raise ValueError(f"{lang_col} has more than {max_languages} values")
+    order = Window.partitionBy("lang").orderBy("h")
+    picked = marks.distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("h", "lang")
+    texts = own.select(F.xxhash64(text_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
     by_lang: dict[str, set[str]] = {}
-    for r in texts.join(picked.distinct(), "h").distinct().collect():
-        by_lang.setdefault(r["lang"], set()).add(r["text"])
+    # At most per_language * max_languages hashes: the texts stay where they are.
+    for r in texts.join(F.broadcast(picked), ["h", "lang"]).distinct().collect():
+        by_lang.setdefault(r["lang"], set()).add(bytes(r["text"]).decode("utf-8", "replace"))
     return {lang: " ".join(map(_letters, sorted(texts))).encode() for lang, texts in sorted(by_lang.items())}
 
 
@@ -77,21 +78,28 @@ class Judge:
         return order[0][1], 1 - order[0][0] / order[1][0]
 
 
-def identify(docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.003, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` plus lang_pred, score, rejected."""
-    names = ("lang_pred", "score", "rejected")
-    keep = docs.filter(F.col(id_col).isNotNull()).drop(*names)
+def identify(
+    docs: DataFrame, dictionaries: dict[str, bytes], min_margin: float = 0.003, id_col: str = "doc_id", text_col: str = "text",
+    names: tuple[str, str, str] = ("lang_pred", "score", "rejected"),
+) -> DataFrame:
+    """All columns of ``docs`` plus the language, its score and whether it is rejected, under ``names``.
+
+    A column of ``docs`` that has such a name already is an error: give others.
+    """
+    if clash := {n.lower() for n in names} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"the documents have columns {sorted(clash)} already")
+    keep = docs.filter(F.col(id_col).isNotNull())
     at = keep.columns.index(text_col)
-    clean = [f"c{i}" for i in range(len(keep.columns))]  # any column names, clashing ones too
+    clean = [f"c{i}" for i in range(len(keep.columns))]  # any column names
     schema = ", ".join(f"{c} {f.dataType.simpleString()}" for c, f in zip(clean, keep.schema.fields))
     cast = keep.toDF(*clean)
 
     def run(batches):
         judge = Judge(dictionaries)
         for b in batches:
-            found = [judge(t) for t in b.column(at).to_pylist()]
+            found = [judge(t) for t in texts_of(b.column(at))]
             langs, scores = [x[0] for x in found], [x[1] for x in found]
             rejected = [lang == UNKNOWN or s < min_margin for lang, s in found]
-            yield pa.record_batch([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*clean, *names])
+            yield pa.record_batch([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rejected, pa.bool_())], names=[*clean, "r0", "r1", "r2"])
 
-    return cast.mapInArrow(frugal(run), f"{schema}, lang_pred string, score double, rejected boolean").toDF(*keep.columns, *names)
+    return cast.mapInArrow(frugal(run), f"{schema}, r0 string, r1 double, r2 boolean").toDF(*keep.columns, *names)

@@ -361,6 +361,62 @@ def test_license_base_and_labels(spark, corpus):
     assert license_scan.scan(docs_frame(spark, [])).count() == 0
 
 
+BROKEN = b"caf\xe9 \xff broken bytes"
+
+
+def broken_frame(spark, rows):
+    """doc_id, text: the last row's text is no UTF-8."""
+    own = spark.createDataFrame(rows, "doc_id long, text string")
+    bad = spark.createDataFrame([(999, bytearray(BROKEN))], "doc_id long, b binary").select("doc_id", F.expr("CAST(b AS STRING)").alias("text"))
+    return own.unionByName(bad).select("doc_id", "text", F.lit("aa").alias("lang"))
+
+
+def test_ill_formed_utf8_stops_nothing(spark):
+    words = " ".join(f"w{i}" for i in range(50))
+    df = broken_frame(spark, [(1, words), (2, "x " + words), (3, None)])
+    pieces = BROKEN.split()
+    got = {r.doc_id: r for r in fingerprint_index.remove_repeats(df).collect()}
+    assert (got[999].n_words, got[999].n_removed) == (len(pieces), 0) and got[999].kept_sha256 == hashlib.sha256(b" ".join(pieces)).hexdigest()
+    assert {r.doc_id for r in zstd_langid.identify(df, zstd_langid.fit(df)).collect()} == {1, 2, 3, 999}
+    path = queries.tokenizer_path()
+    packed = {r.doc_id: r for r in packing.pack(packing.pieces(df, path)).collect()}
+    ids = packing.WordTokenizer(path).whole(BROKEN.decode("utf-8", "replace"))
+    assert packed[999].doc_tokens == len(ids) // 4 + 1
+    bench = spark.createDataFrame([(1, words)], "item_id long, text string")
+    assert decontaminate.decontaminate(df, bench).count() == 4
+    assert line_windows.remove_later_windows(df).count() == 4
+    assert simhash_tiles.near_duplicates(df).count() == 4 and license_scan.scan(df).count() == 4
+
+
+def test_language_matches_brute_force(spark):
+    """Every text against every dictionary with a compressor of its own, over the table."""
+    import zstandard
+
+    docs = queries.documents(spark, SF)
+    learned = zstd_langid.fit(docs.filter(~queries.held_out()))
+    rows = docs.filter(~queries.held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text").distinct().collect()
+    clean = lambda t: re.sub(r"[\W\d_]+", " ", t.lower())
+    assert set(learned) == {r.lang for r in rows}
+    for lang, own in learned.items():  # at most 96 of a language here and there: the dictionary is made of whole texts
+        texts = [clean(r.text).strip() for r in rows if r.lang == lang]
+        assert sum(t in own.decode() for t in texts) >= min(len(texts), 96)
+    got = {r.doc_id: r for r in queries.op5_zstd_language(spark, SF).collect()}
+    for r in docs.collect():
+        if r.text is None or not any(c.isalpha() for c in r.text):
+            assert (got[r.doc_id].lang_pred, got[r.doc_id].score, got[r.doc_id].rejected) == ("und", 0.0, True)
+            continue
+        data, sizes = clean(r.text).encode(), {}
+        for lang in sorted(learned):
+            d = zstandard.ZstdCompressionDict(learned[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            params = zstandard.ZstdCompressionParameters.from_level(3, write_checksum=False, write_content_size=False, write_dict_id=False)
+            d.precompute_compress(compression_params=params)
+            press = zstandard.ZstdCompressor(dict_data=d, compression_params=params)
+            sizes[lang] = sum(len(press.compress(data[i : i + 2000])) for i in range(0, len(data), 2000))
+        best, second = sorted((n, lang) for lang, n in sizes.items())[:2]
+        assert (got[r.doc_id].lang_pred, got[r.doc_id].score) == (best[1], 1 - best[0] / second[0])
+        assert got[r.doc_id].rejected == (1 - best[0] / second[0] < 0.003)
+
+
 def test_language_edges(spark):
     texts = {"aa": "banana bandana cabana " * 30, "bb": "zyxo wuvo tuvwo " * 30}
     rows = [(i, texts["aa" if i % 2 else "bb"]) for i in range(10)] + [(20, None), (21, ""), (22, "123 !!"), (23, "cabana bandana banana " * 900), (23, "cabana bandana banana " * 900), (None, "x")]
@@ -372,6 +428,17 @@ def test_language_edges(spark):
     assert all(got[i].lang_pred == "und" and got[i].score == 0 and got[i].rejected for i in (20, 21, 22))
     assert got[23].lang_pred == "aa"
     assert {r.lang_pred for r in zstd_langid.identify(df, {}).collect()} == {"und"}
+    with pytest.raises(ValueError):
+        zstd_langid.fit(df, max_languages=1)
+    named = df.withColumns({"score": F.lit(7), "rejected": F.lit("x")})
+    with pytest.raises(ValueError):
+        zstd_langid.identify(named, {})
+    told = zstd_langid.identify(named, zstd_langid.fit(df), names=("l", "s", "r")).first()
+    assert (told.score, told.rejected, told.l in ("aa", "bb", "und")) == (7, "x", True)
+    # whole texts: what tells the languages apart may stand at the end
+    late = {"aa": "same words here " * 600 + texts["aa"], "bb": "same words here " * 600 + texts["bb"]}
+    df = docs_frame(spark, [(0, late["aa"]), (1, late["bb"]), (2, "banana bandana cabana"), (3, "zyxo wuvo tuvwo")], ["aa", "bb", None, None])
+    assert [r.lang_pred for r in zstd_langid.identify(df, zstd_langid.fit(df)).orderBy("doc_id").collect()][2:] == ["aa", "bb"]
 
 
 def test_language_held_out_accuracy(spark):
@@ -409,6 +476,21 @@ def test_ann_recall_and_edges(spark):
     assert ann.search(vectors.limit(0), vectors.limit(0)).count() == 0
 
 
+def test_ann_probes_follow_the_data(spark):
+    """Few probes where vectors cluster, with the recall that is asked for."""
+    rng = np.random.default_rng(6)
+    centers = rng.normal(size=(60, 24))
+    x = centers[rng.integers(0, 60, 6000)] + 0.25 * rng.normal(size=(6000, 24))
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    frame = spark.createDataFrame(rows, "id long, vec array<double>").withColumn("part", F.lit(9)).withColumn("score", F.lit(0.5))
+    w, _, length, probes = ann.fit(frame, parts=32)
+    assert w.shape == (24, 32) and length == 24 and probes <= 8
+    got = ann.search(frame, frame.filter("id % 50 = 0"), parts=32, block=100).toPandas().groupby("query_id").vec_id.agg(set)
+    want = brute_nearest(rows)
+    assert sum(len(set(v) & got[q]) for q, v in want.items()) / sum(map(len, want.values())) >= 0.95
+    assert ann.fit(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 24)))], "id long, vec array<double>"), parts=32)[3] > 8
+
+
 def test_ann_repeated_queries(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(60, 8))
@@ -447,6 +529,39 @@ def test_urls(spark):
     assert url_reputation.judge(pages.limit(0), marks).count() == 0
 
 
+def test_bad_hosts_are_blocked_and_no_others(spark):
+    rng = np.random.default_rng(8)
+    hosts = [f"h{i}.site{i % 7}.{'co.uk' if i % 3 else 'com'}" for i in range(40)]
+    bad = {"h3.site3.co.uk", "h11.site4.co.uk", "h30.site2.com"}
+    hosts[3], hosts[11], hosts[30] = sorted(bad, key=["h3.site3.co.uk", "h11.site4.co.uk", "h30.site2.com"].index)
+    rows, marks = [], []
+    for h in hosts:
+        for _ in range(60):
+            rows.append((len(rows), f"http://{h}/x", "html", "m"))
+            if rng.random() < 0.7:
+                marks.append((rows[-1][0], int(rng.random() < (0.7 if h in bad else 0.05))))
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, mean string")
+    labels = spark.createDataFrame(marks, "page_id long, bad int")
+    got = url_reputation.judge(pages, labels, rules=()).collect()
+    assert {r.host for r in got if r.verdict == "block"} == bad and len(got) == len(rows)
+
+
+def test_suffixes(spark):
+    names = ["a.b.com.tr", "x.github.io", "github.io", "192.168.0.1", "[::1]", "a.b.example.com", "b.co.uk", "deep.b.co.uk", "localhost", "", "www.ck", "a.b.ck"]
+    df = spark.createDataFrame([(n,) for n in names], "host string")
+    domain, suffix = url_reputation.domain_suffix(url_reputation.host_name(F.col("host")))
+    got = {r.host: (r.d, r.s) for r in df.select("host", domain.alias("d"), suffix.alias("s")).collect()}
+    want = {"a.b.com.tr": ("b.com.tr", "com.tr"), "x.github.io": ("x.github.io", "github.io"), "192.168.0.1": ("192.168.0.1", "address"), "[::1]": ("[::1]", "address"), "a.b.example.com": ("example.com", "com"), "deep.b.co.uk": ("b.co.uk", "co.uk"), "localhost": ("localhost", "localhost")}
+    assert {n: got[n] for n in want} == want
+    rules = spark.createDataFrame([("com",), ("*.ck",), ("!www.ck",), ("co.uk",), ("uk",), (None,), ("com.tr",)], "rule string")
+    for bound in (100_000, 1):
+        got = {r.host: (r.domain, r.suffix) for r in url_reputation.listed_suffixes(df, rules, bound).collect()}
+        want = {"a.b.com.tr": ("b.com.tr", "com.tr"), "192.168.0.1": ("192.168.0.1", "address"), "deep.b.co.uk": ("b.co.uk", "co.uk"), "www.ck": ("www.ck", "ck"), "a.b.ck": ("a.b.ck", "b.ck"), "localhost": ("localhost", "localhost")}
+        assert {n: got[n] for n in want} == want
+    pages = spark.createDataFrame([(1, "http://a.b.com.tr/")], "page_id long, url string")
+    assert url_reputation.judge(pages, spark.createDataFrame([], "page_id long, bad int"), suffixes=rules).first().verdict == "allow"
+
+
 @pytest.mark.parametrize("name", sorted(queries.SQL))
 def test_sql_agrees(spark, name):
     import duckdb
