@@ -43,12 +43,17 @@ def held(spark: SparkSession) -> set[str]:
     return set(_made.get(spark, ()))
 
 
-def release(spark: SparkSession, but: set[str]) -> None:
-    """Remove all intermediate tables but these; nothing may read them any more."""
-    for path in held(spark) - but:
+def remove(spark: SparkSession, paths: set[str]) -> None:
+    """Remove these intermediate tables; nothing may read them any more."""
+    for path in paths:
         try:
             where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
         except Exception:  # noqa: BLE001  the session is gone; its folder goes with it
             return
-        _made[spark].discard(path)
+        _made.get(spark, set()).discard(path)
+
+
+def release(spark: SparkSession, but: set[str]) -> None:
+    """Remove all intermediate tables but these (what ``held`` gave before a step, say)."""
+    remove(spark, held(spark) - but)
