@@ -11,8 +11,11 @@ run of all its grams of ``gram = window // 2 + 1`` words, and its anchor is the
 least gram hash.  Equal windows have equal anchors, so a window can repeat only
 if its anchor does; about one word in nine starts an anchor, which keeps the index
 and its shuffles far smaller than the text.  Windows with a repeated anchor are
-then verified: a second hash of the whole window's bytes (XXH3, 64 bits) is
-counted over all documents, and only windows whose own count is above one go.
+then verified: the 128-bit XXH3 hash of the whole window's bytes is counted over all
+documents, and only windows whose own count is above one go (among 10**13 windows, two different ones
+share a hash with a chance of about 10**-13).
+
+Runs are tables in the shared scratch folder.
 
 Counts combine before they are shuffled, so a passage that a third of all
 documents share costs one row a task; the joins that find its places have unique
@@ -20,7 +23,8 @@ keys on one side, which adaptive execution splits.
 
 Edges: null or blank texts have no words and lose none; texts shorter than the
 window have no window; repeated rows are copies of each other; rows with a null
-``doc_id`` are left out; an empty table gives an empty result.
+``doc_id`` are left out; words are bytes, so ill-formed UTF-8 stays as it is; very long texts are
+hashed in overlapping parts; extra columns are not read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -36,17 +40,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.scratch import folder, remove
 from ._common import content_key, cut, frugal, PrefixHash, sliding, word_bounds
 
 #: Words handled at once; longer texts are taken in overlapping parts.
 PART = 200_000
 
 
-def _parts(words: list[bytes], window: int) -> Iterator[tuple[int, list[bytes]]]:
+def _parts(words: list[bytes], window: int, part: int = PART) -> Iterator[tuple[int, list[bytes]]]:
     """Parts such that each window lies in exactly one of them."""
     n = len(words) - window + 1
-    for at in range(0, max(n, 0), PART):
-        yield at, words[at : min(at + PART, n) + window - 1]
+    for at in range(0, max(n, 0), part):
+        yield at, words[at : min(at + part, n) + window - 1]
 
 
 def _anchors(words: list[bytes], window: int, hasher: PrefixHash) -> tuple[np.ndarray, np.ndarray, bytes, np.ndarray, np.ndarray]:
@@ -58,7 +63,7 @@ def _anchors(words: list[bytes], window: int, hasher: PrefixHash) -> tuple[np.nd
     return sliding(h, window - gram + 1, least=True).view(np.int64), h.view(np.int64), joined, starts, ends
 
 
-def anchors(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def anchors(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str = "text", part: int = PART) -> DataFrame:
     """Distinct anchors of every document: fp, key, twice (repeated in this document)."""
 
     def run(batches):
@@ -67,7 +72,7 @@ def anchors(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str
             fps, keys, twice = [], [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = (text or b"").split()
-                own = [_anchors(p, window, hasher)[:2] for _, p in _parts(words, window)]
+                own = [_anchors(p, window, hasher)[:2] for _, p in _parts(words, window, part)]
                 if not own:
                     continue
                 grams, times = np.unique(np.concatenate([x[1] for x in own]), return_counts=True)
@@ -90,27 +95,28 @@ def anchors(docs: DataFrame, window: int, id_col: str = "doc_id", text_col: str
 class FingerprintIndex:
     """Sorted immutable runs of fingerprints, joined with each new batch and compacted."""
 
-    def __init__(self, spark: SparkSession, window: int = 35, buckets: int | None = None, fanout: int = 4) -> None:
-        self.spark, self.window, self.fanout = spark, window, fanout
+    def __init__(self, spark: SparkSession, window: int = 35, buckets: int | None = None, fanout: int = 4, part: int = PART) -> None:
+        self.spark, self.window, self.fanout, self.part = spark, window, fanout, part
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.name = f"fingerprints_{uuid.uuid4().hex}"
-        self.runs: list[str] = []
+        #: table -> its folder
+        self.runs: dict[str, str] = {}
         self._made = 0
 
-    def _write(self, df: DataFrame) -> str:
-        table = f"{self.name}_{self._made}"
+    def _write(self, df: DataFrame) -> dict[str, str]:
+        table, path = f"{self.name}_{self._made}", folder(self.spark, "fingerprints")
         self._made += 1
-        df.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").saveAsTable(table)
-        return table
+        df.write.bucketBy(self.buckets, "fp").sortBy("fp").format("parquet").option("path", path).saveAsTable(table)
+        return {table: path}
 
     def ingest(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> None:
         """Add one batch as a new run; compacts when there are more than ``fanout`` runs."""
         counted = (
-            anchors(batch, self.window, id_col, text_col)
+            anchors(batch, self.window, id_col, text_col, self.part)
             .groupBy("fp")
             .agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n"))
         )
-        self.runs.append(self._write(counted.repartition(self.buckets, "fp")))
+        self.runs |= self._write(counted.repartition(self.buckets, "fp"))
         if len(self.runs) > self.fanout:
             self.compact()
 
@@ -131,20 +137,22 @@ class FingerprintIndex:
 
     def compact(self) -> None:
         """Replace all runs by one; the old runs are dropped once the new one is written."""
-        old, merged = self.runs, self._write(self.merged())
-        self.runs = [merged]
-        for run in old:
-            self.spark.sql(f"DROP TABLE {run}")
+        old, self.runs = self.runs, self._write(self.merged())
+        self._remove(old)
 
     def known(self, batch: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """Incremental use: anchors of ``batch`` that the runs already hold (fp, key)."""
-        found = anchors(batch, self.window, id_col, text_col)
+        found = anchors(batch, self.window, id_col, text_col, self.part)
         return found.join(self.merged().select("fp"), "fp", "left_semi").select("fp", "key")
 
     def drop(self) -> None:
-        for run in self.runs:
+        self._remove(self.runs)
+        self.runs = {}
+
+    def _remove(self, runs: dict[str, str]) -> None:
+        for run in runs:
             self.spark.sql(f"DROP TABLE IF EXISTS {run}")
-        self.runs = []
+        remove(self.spark, set(runs.values()))
 
 
 def _pack(words: list[bytes], press: zstandard.ZstdCompressor) -> bytes:
@@ -152,7 +160,7 @@ def _pack(words: list[bytes], press: zstandard.ZstdCompressor) -> bytes:
 
 
 def remove_repeats(
-    docs: DataFrame, window: int = 35, batches: int = 2, fanout: int = 4, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, window: int = 35, batches: int = 2, fanout: int = 4, id_col: str = "doc_id", text_col: str = "text", part: int = PART
 ) -> DataFrame:
     """Words of every document without those covered by a repeated window.
 
@@ -161,14 +169,14 @@ def remove_repeats(
     """
     spark = docs.sparkSession
     docs = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    index = FingerprintIndex(spark, window, fanout=fanout)
+    index = FingerprintIndex(spark, window, fanout=fanout, part=part)
     for i in range(batches):
         index.ingest(docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(batches)) == i))
     # Where the index knows an anchor more than once; one row for a document and anchor.
     repeated = cut(index.merged().filter("n > 1").select("fp"), "repeated-anchors")
     index.drop()
     hits = (
-        anchors(docs, window).select("fp", "key").join(repeated, "fp").groupBy("key").agg(F.collect_set("fp").alias("fps"))
+        anchors(docs, window, part=part).select("fp", "key").join(repeated, "fp").groupBy("key").agg(F.collect_set("fp").alias("fps"))
     )
 
     def pack(batches_in):
@@ -188,27 +196,24 @@ def remove_repeats(
             hs, keys, ats = [], [], []
             for key, blob, fps in zip(*(b.column(i).to_pylist() for i in range(3))):
                 marked = np.array(fps, np.int64)
-                for at, part in _parts(unpress.decompress(blob).split(), window):
-                    own, _, joined, starts, ends = _anchors(part, window, hasher)
+                for at, own_words in _parts(unpress.decompress(blob).split(), window, part):
+                    own, _, joined, starts, ends = _anchors(own_words, window, hasher)
                     pos = np.flatnonzero(np.isin(own, marked))
                     if not len(pos):
                         continue
                     whole = zip(starts[pos].tolist(), ends[pos + window - 1].tolist())
-                    hs.append(np.array([xxhash.xxh3_64_intdigest(joined[s:e]) for s, e in whole], np.uint64).view(np.int64))
+                    hs.append(np.frombuffer(b"".join(xxhash.xxh3_128_digest(joined[s:e]) for s, e in whole), np.int64).reshape(-1, 2))
                     keys.append(np.full(len(pos), key, np.int64))
                     ats.append((pos + at).astype(np.int32))
             if hs:
-                yield pa.record_batch(
-                    [pa.array(np.concatenate(x)) for x in (hs, keys, ats)], names=["h", "key", "at"]
-                )
-
-    def candidates() -> DataFrame:
-        held = met.filter(F.col("fps").isNotNull()).select("key", "packed", "fps")
-        return held.mapInArrow(frugal(verify), "h long, key long, at int")
+                h = np.concatenate(hs)
+                yield pa.record_batch([pa.array(x) for x in (h[:, 0].copy(), h[:, 1].copy(), np.concatenate(keys), np.concatenate(ats))], names=["h", "g", "key", "at"])
 
-    # Written, so that the join has plain exchanges on both sides, whose hot hashes adaptive execution splits.
-    twice = cut(candidates().groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"), "repeated-windows")
-    places = candidates().join(twice, "h").groupBy("key").agg(F.collect_set("at").alias("at"))
+    held = met.filter(F.col("fps").isNotNull()).select("key", "packed", "fps")
+    # Written: they are read twice, and the join has plain exchanges on both sides, whose hot hashes adaptive execution splits.
+    found = cut(held.mapInArrow(frugal(verify), "h long, g long, key long, at int"), "window-places")
+    twice = cut(found.groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g"), "repeated-windows")
+    places = found.join(twice, ["h", "g"]).groupBy("key").agg(F.collect_set("at").alias("at"))
 
     def keep(batches_in):
         unpress = zstandard.ZstdDecompressor()
@@ -228,10 +233,10 @@ def remove_repeats(
                 text = b" ".join(words_kept)
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(words_kept))
-                kept_texts.append(text.decode())
+                kept_texts.append(text)
                 digests.append(hashlib.sha256(text).hexdigest())
             yield pa.record_batch(
-                [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_texts, pa.string()), pa.array(digests, pa.string())],
+                [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_texts, pa.binary()), pa.array(digests, pa.string())],
                 names=["doc_id", "n_words", "n_removed", "kept", "kept_sha256"],
             )
 
@@ -239,5 +244,6 @@ def remove_repeats(
         met.select("doc_id", "key", "packed")
         .join(places, "key", "left")
         .select("doc_id", "packed", "at")
-        .mapInArrow(frugal(keep), f"doc_id {id_type}, n_words long, n_removed long, kept string, kept_sha256 string")
+        .mapInArrow(frugal(keep), f"doc_id {id_type}, n_words long, n_removed long, kept binary, kept_sha256 string")
+        .withColumn("kept", F.col("kept").cast("string"))
     )

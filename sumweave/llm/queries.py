@@ -55,7 +55,7 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def conversation_nodes(conversations: DataFrame) -> DataFrame:
-    """The rows of each conversation as a chain of replies, in order of their turns."""
+    """The rows of each conversation as a chain of replies, in order of their turns: one leaf, so nothing is left to rank."""
     own = conversations.filter(F.col("conv_id").isNotNull()).select(
         F.col("conv_id").alias("tree_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
@@ -73,11 +73,10 @@ def op7_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(PROBE).alias("text"),
     )
-    out = reply_trees.format_trees(conversation_nodes(own.unionByName(probe)))
+    out = reply_trees.with_loss_text(reply_trees.format_trees(conversation_nodes(own.unionByName(probe))))
     turns = reply_trees.parse(F.col("formatted"))
-    loss = reply_trees.loss_text(F.col("formatted"), F.col("loss_mask"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return out.withColumn("turns", turns).withColumn("loss", loss).select(
+    return out.withColumn("turns", turns).select(
         F.col("tree_id").alias("conv_id"),
         F.size("turns").cast("long").alias("n_turns"),
         F.sha2(told.cast("binary"), 256).alias("turns_sha256"),

@@ -90,14 +90,15 @@ def tile_links(a: np.ndarray, b: np.ndarray, radius: int, sketches: tuple | None
     return out
 
 
-def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, slices: int = 8, sketch_radius: int | None = None) -> DataFrame:
+def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, per_slice: int = 16, sketch_radius: int | None = None) -> DataFrame:
     """Links (a, b) that connect the distinct fingerprints ``fp`` within ``radius`` bits.
 
     With ``sketch_radius`` the vertices are distinct ``node``s, of which some may share a
     fingerprint; linked nodes differ in at most so many bits of ``sketch``, too.
 
-    Of each population count the tiles are dealt to ``slices`` keys, and what meets them
-    is repeated for each, so that a common count is compared by many tasks.
+    The tiles of each population count are dealt to slices of about ``per_slice`` tiles, as many as their
+    number asks for; a pair of slices is one key, so common counts are compared by many tasks of
+    bounded size, and a tile is repeated once for each slice that it meets.
     """
     marks = [] if sketch_radius is None else ["node", "sketch"]
     keyed = vertices.withColumn("ones", F.bit_count("fp").cast("int"))
@@ -143,12 +144,16 @@ def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, slices: int = 8
         ),
         "simhash-tiles",
     )
-    left = (
-        tiles.select(*(F.col(c).alias(f"{c}_a") for c in tiles.columns))
-        .withColumn("ones", F.explode(F.sequence(F.col("ones_a"), F.col("ones_a") + radius)))
-        .withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
-    )
-    right = tiles.withColumn("slice", F.pmod(F.xxhash64("tile"), F.lit(slices)).cast("int"))
+    # A row for each population count: at most 65.
+    counts = tiles.groupBy("ones").agg(F.ceil(F.count(F.lit(1)) / per_slice).alias("slices"))
+    theirs = lambda name: F.broadcast(counts.select(F.col("ones").alias(name), F.col("slices").alias(f"{name}_slices")))
+    dealt_to = lambda df: df.join(theirs("ones_a"), "ones_a").join(theirs("ones"), "ones")
+    own = lambda name, n: F.pmod(F.xxhash64(name), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n).cast("int") - 1))
+    left = dealt_to(tiles.select(*(F.col(c).alias(f"{c}_a") for c in tiles.columns)).withColumn("ones", F.explode(F.sequence(F.col("ones_a"), F.col("ones_a") + radius))))
+    left = left.withColumn("slice_a", own("tile_a", "ones_a_slices")).withColumn("slice", each("ones_slices")).drop("ones_slices", "ones_a_slices")
+    right = dealt_to(tiles.withColumn("ones_a", F.explode(F.sequence(F.col("ones") - radius, F.col("ones")))))
+    right = right.withColumn("slice", own("tile", "ones_slices")).withColumn("slice_a", each("ones_a_slices")).drop("ones_slices", "ones_a_slices")
     apart = F.aggregate(
         F.zip_with(
             F.zip_with("low", "high_a", lambda x, y: x - y), F.zip_with("low_a", "high", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0))
@@ -156,7 +161,7 @@ def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, slices: int = 8
         F.lit(0),
         lambda s, x: s + x,
     )
-    pairs = left.join(right, ["ones", "slice"]).filter(
+    pairs = left.join(right, ["ones_a", "ones", "slice_a", "slice"]).filter(
         ((F.col("ones") > F.col("ones_a")) | (F.col("tile") >= F.col("tile_a"))) & (apart <= radius)
     )
 

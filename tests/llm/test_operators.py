@@ -63,13 +63,16 @@ def test_repeats_match_brute_force(spark, corpus):
     assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got) == sorted(want)
 
 
-def test_repeats_in_parts_of_long_texts(spark, corpus, monkeypatch):
-    whole = fingerprint_index.remove_repeats(docs_frame(spark, corpus), window=35).toPandas()
+def test_repeats_in_parts_of_long_texts(spark, corpus):
+    rows = lambda **more: sorted(map(tuple, fingerprint_index.remove_repeats(docs_frame(spark, corpus), window=35, **more).collect()))
+    assert rows(part=40) == rows()
     assert [len(p) for _, p in fingerprint_index._parts([b"w"] * 100, 35)] == [100]
-    monkeypatch.setattr(fingerprint_index, "PART", 40)
-    parts = list(fingerprint_index._parts([b"%d" % i for i in range(100)], 35))
+    parts = list(fingerprint_index._parts([b"%d" % i for i in range(100)], 35, 40))
     assert [x for at, p in parts for x in range(at, at + len(p) - 34)] == list(range(66))
-    assert len(whole) == len(corpus) - 1
+    long = " ".join(f"w{i}" for i in range(250_000))
+    got = {r.doc_id: r for r in fingerprint_index.remove_repeats(docs_frame(spark, [(1, "a " + long), (2, long + " b"), (3, "own words")])).collect()}
+    assert {d: (r.n_words, r.n_removed, r.kept) for d, r in got.items()} == {1: (250_001, 250_000, "a"), 2: (250_001, 250_000, "b"), 3: (2, 0, "own words")}
+    assert fingerprint_index.remove_repeats(docs_frame(spark, [])).count() == 0
 
 
 def test_index_compacts_and_knows(spark):
@@ -174,7 +177,7 @@ def test_tiles_lose_no_link(spark, tile):
             b ^= (1 << int(rng.integers(0, 63))) ^ (1 << int(rng.integers(0, 63)))
             fps.add(b)
     fps = sorted(fps)
-    links = simhash_tiles.link(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, tile).collect()
+    links = simhash_tiles.link(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, tile, per_slice=2).collect()
     group = {f: f for f in fps}
 
     def root(f):
@@ -262,7 +265,7 @@ def test_reply_trees(spark):
     ] + [(4, i, i - 1, "user" if i % 2 else "assistant", f"m{i}", 0.0) for i in range(1, 40)]
     df = spark.createDataFrame(nodes + nodes[:2], NODES)
     every = reply_trees.format_trees(df, branches=None)
-    told = every.select("*", reply_trees.parse(F.col("formatted")).alias("turns"), reply_trees.loss_text(F.col("formatted"), F.col("loss_mask")).alias("loss")).collect()
+    told = reply_trees.with_loss_text(every).withColumn("turns", reply_trees.parse(F.col("formatted"))).collect()
     got = {(r.tree_id, r.leaf): r for r in told}
     assert set(got) == {(1, 3), (1, 5), (2, 1), (4, 39)}
     best = got[1, 5]
@@ -276,6 +279,22 @@ def test_reply_trees(spark):
     assert reply_trees.format_trees(df.limit(0)).count() == 0
 
 
+def test_reply_trees_of_many_leaves_and_turns(spark):
+    """A chain with a leaf at each message: only the best path is enumerated."""
+    nodes = [(1, i, i - 1 if i else None, "user" if i % 2 else "assistant", f"m{i} é𝄞", float(i % 5)) for i in range(300)]
+    nodes += [(1, 1000 + i, i, "assistant", f"leaf {i}", 50.0 if i == 123 else 0.0) for i in range(300)]
+    scores = {n: s for _, n, _, _, _, s in nodes}
+    df = spark.createDataFrame(nodes, NODES).withColumns({"rank": F.lit(1), "leaf": F.lit("x"), "formatted": F.lit(2)})
+    mean = lambda i: (sum(scores[k] for k in range(i + 1)) + scores[1000 + i]) / (i + 2)
+    best = max(range(300), key=lambda i: (mean(i), -i))
+    got = reply_trees.with_loss_text(reply_trees.format_trees(df)).withColumn("turns", reply_trees.parse(F.col("formatted"))).collect()
+    assert len(got) == 1 and got[0].leaf == 1000 + best and got[0].mean_score == pytest.approx(mean(best)) and got[0].n_turns == best + 2
+    assert [t.text for t in got[0].turns] == [f"m{i} é𝄞" for i in range(best + 1)] + [f"leaf {best}"]
+    assert got[0].loss == "".join(f"m{i} é𝄞" for i in range(0, best + 1, 2)) + f"leaf {best}"
+    levels, leaves = reply_trees.jumps(df)
+    assert leaves.count() == 300 and reply_trees.paths(levels, leaves.filter(f"node_id = {1000 + best}").withColumnRenamed("node_id", "leaf")).count() == best + 2
+
+
 def test_escape_round_trip(spark):
     texts = ["\\", "\\\\", "<|", "<\\|", "[INST][/INST]<<SYS>><</SYS>>", "a\nb\\\nc", "<<s>", "</s", "", "[\\INST]", "$1 \\$"]
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", reply_trees.escape(F.col("t")).alias("e"))
