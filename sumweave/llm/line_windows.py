@@ -10,7 +10,9 @@ row a task; the join back has unique hashes on one side.
 Edges: null text stays null and has no lines; a document of fewer than ``size``
 lines has no window and stays whole; windows with no character but blanks are no
 windows; of repeated rows (equal doc_id and text) the later place is removed in
-neither, since both carry the same place; rows with a null doc_id are left out.
+neither, since both carry the same place; rows with a null doc_id are left out; other columns
+are carried along in ``row`` under whatever names they have; ill-formed UTF-8 is compared as it is;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ def windows(docs: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame
 
 
 def remove_later_windows(docs: DataFrame, size: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, key, n_lines, n_removed, kept (text without the removed lines) of every document."""
+    """row (a document's columns but the text), doc_id, key, n_lines, n_removed, kept (text without the removed lines) of every document."""
     found = windows(docs, size, id_col, text_col)
     # Written, so that the join has plain exchanges on both sides, whose hot hashes adaptive execution splits.
     first = cut(
@@ -63,8 +65,9 @@ def remove_later_windows(docs: DataFrame, size: int = 3, id_col: str = "doc_id",
         .groupBy("doc_id", "key")
         .agg(F.collect_set("at").alias("ats"))
     )
+    others = [F.col(c) for c in docs.columns if c != text_col]
     all_docs = docs.filter(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("doc_id"), content_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")
+        F.struct(*others).alias("row"), F.col(id_col).alias("doc_id"), content_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")
     )
     covered = F.array_distinct(F.flatten(F.transform("ats", lambda a: F.sequence(a, a + (size - 1)))))
     met = fixed(all_docs.join(later, ["doc_id", "key"], "left"), lines=_lines(F.col("text")), covered=F.coalesce(covered, F.array().cast("array<int>")))
@@ -72,6 +75,7 @@ def remove_later_windows(docs: DataFrame, size: int = 3, id_col: str = "doc_id",
     left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("covered"))
     kept = F.transform(left, lambda i: F.get("lines", i))
     return met.select(
+        "row",
         "doc_id",
         "key",
         F.when(F.col("text").isNull(), 0).otherwise(F.size("lines")).cast("long").alias("n_lines"),

@@ -10,8 +10,8 @@ vertices, so no verdict rests on a sketch and no link depends on which forest wa
 
 Edges: fewer words than a shingle are one shingle; null and blank texts have none and are copies
 of each other; repeated rows are copies; groups are connected by links, so two texts of one group
-may be less similar than the threshold; rows with a null doc_id are left out; an empty table
-gives an empty result.
+may be less similar than the threshold; rows with a null doc_id are left out; extra columns are not read, and
+``keep_first`` keeps them; ill-formed UTF-8 is compared as it is; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -157,3 +157,20 @@ def near_copies(docs: DataFrame, least: float = 0.8, words: int = 5, radius: int
     return found.join(named.join(smallest, "component").select("node", "least"), "node").select(
         "doc_id", "key", F.col("least.doc_id").alias("component_id"), (F.struct("doc_id", "key") == F.col("least")).alias("first")
     )
+
+
+def keep_first(docs: DataFrame, marks: DataFrame, broadcast_rows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_copies`` marks first, of repeated rows one; all their columns.
+
+    The texts stay where they are as long as the rows that go, and those that repeat, are at most ``broadcast_rows``
+    (counted; two numbers each); beyond, the same joins are shuffled.
+    """
+    each = cut(marks.groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n"), F.first("first").alias("first")), "near-copies-kept")
+    named = lambda df: df.select(F.col("doc_id").alias("__doc"), F.col("key").alias("__key"))
+    few = lambda df: F.broadcast(df) if df.limit(broadcast_rows + 1).count() <= broadcast_rows else df
+    gone, twice = few(named(each.filter("NOT first"))), few(named(each.filter("first AND n > 1")))
+    own = docs.filter(F.col(id_col).isNotNull()).withColumns({"__id": F.col(id_col).cast("long"), "__hash": content_key(id_col, text_col)})
+    on = (F.col("__id") == F.col("__doc")) & (F.col("__hash") == F.col("__key"))
+    left = own.join(gone, on, "left_anti")
+    once = left.join(twice, on, "left_anti").unionByName(left.join(twice, on, "left_semi").dropDuplicates(["__id", "__hash"]))
+    return once.drop("__id", "__hash")

@@ -3,9 +3,9 @@
 Each text is tokenized whole, an end token is put after it, and documents longer than a
 window are first cut into full windows.  What is left of each is packed: longest piece
 first, into the open window with the least capacity that still holds it.  A segment tree
-over the remaining capacities finds that window.  Pieces are dealt evenly to groups of
-about ``group`` pieces, whatever document they belong to; each group is packed by itself
-and wastes at most a window or so more than one packing of everything.
+over the remaining capacities finds that window.  The pieces are written, and each task packs those it reads in groups
+of about ``group``, whatever document they belong to, so no token moves between
+machines; each group is packed by itself and wastes at most a window or so more than one packing of everything.
 
 Edges: a null text counts as empty; an empty text is its end token; repeated rows are
 packed each; rows with a null doc_id are left out; ill-formed UTF-8 is read as U+FFFD; an empty
@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -207,14 +206,27 @@ def best_fit_decreasing(lengths: np.ndarray, window: int) -> tuple[np.ndarray, n
 def pack(found: DataFrame, window: int = 2048, group: int = 50_000) -> DataFrame:
     """The pieces with sequence_id and offset."""
     found = cut(found, "packing-pieces")
-    groups = max(1, -(-found.count() // group))
-    # By place in the written table: equal rows spread as well as others.  A group numbers its sequences in 40 bits.
-    dealt = found.withColumn("grp", F.pmod(F.monotonically_increasing_id(), F.lit(groups)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in found.schema.fields) + ", sequence_id long, offset long"
 
-    def run(key: tuple, df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values(["doc_id", "start"], kind="stable").drop(columns="grp")
-        sequence, offset = best_fit_decreasing(df["length"].to_numpy(np.int64), window)
-        return df.assign(sequence_id=sequence + (int(key[0]) << 40), offset=offset)
+    def run(batches):
+        held, rows, number = [], 0, 0
+
+        def packed(table: pa.Table, number: int) -> pa.RecordBatch:
+            # 2**24 groups of a task, 2**19 sequences of a group, 2**20 tasks
+            first = (table.column("__task")[0].as_py() << 43) + (number << 19)
+            sequence, offset = best_fit_decreasing(table.column("length").to_numpy(), window)
+            out = table.drop_columns(["__task"]).append_column("sequence_id", pa.array(sequence + first)).append_column("offset", pa.array(offset))
+            return out.combine_chunks().to_batches()
 
-    return dealt.groupBy("grp").applyInPandas(run, schema)
+        for b in batches:
+            for at in range(0, b.num_rows, group):
+                part = b.slice(at, group)
+                if rows and rows + part.num_rows > group:
+                    yield from packed(pa.Table.from_batches(held), number)
+                    held, rows, number = [], 0, number + 1
+                held.append(part)
+                rows += part.num_rows
+        if rows:
+            yield from packed(pa.Table.from_batches(held), number)
+
+    return found.withColumn("__task", F.spark_partition_id()).mapInArrow(frugal(run), schema)

@@ -351,6 +351,7 @@ def test_best_fit_decreasing():
 
 def test_license_base_and_labels(spark, corpus):
     mit = license_scan.TEMPLATES[0][1]
+    mit = license_scan.TEMPLATES[1][1]
     edited = mit.replace("free of charge,", "totally free of any charge,").replace("limitation", "limit")
     rows = corpus + [(800, "Intro. MIT  License, mit-license mit license"), (801, "x y z " + edited), (802, "GNU General Public License CC-BY cc by 4"), (803, mit[:60]), (804, "the MIT License" + " foo" * 50)]
     rows.append((804, "the MIT License" + " foo" * 50))
@@ -436,6 +437,91 @@ def test_language_matches_brute_force(spark):
         assert got[r.doc_id].rejected == (1 - best[0] / second[0] < 0.003)
 
 
+def test_license_labels_of_planted_notices(spark):
+    """Edited notices are found, scattered words of one and unlike texts are not; in parts as in whole."""
+    rng = np.random.default_rng(11)
+    vocab = [f"w{i}" for i in range(400)]
+    rows, want = [], {}
+    for label, text in license_scan.TEMPLATES:
+        words = text.split()
+        if len(words) < 25:
+            continue
+        for kind in ("whole", "edited", "scattered"):
+            own = list(words)
+            if kind == "edited":
+                for at in sorted(rng.choice(len(own), len(own) // 30, replace=False), reverse=True):
+                    own[at : at + 1] = [] if at % 2 else [own[at], "foreign"]
+            if kind == "scattered":
+                own = [x for i, w in enumerate(words) for x in ([w] + ["foreign", "words", "here"] * (i % 5 == 4))]
+            around = [" ".join(rng.choice(vocab, 60)) for _ in range(2)]
+            rows.append((len(rows), f"{around[0]} {' '.join(own)} {around[1]}"))
+            want[rows[-1][0]] = (label, kind)
+    rows += [(len(rows) + i, " ".join(rng.choice(vocab, 200))) for i in range(20)]
+    rows.append((5000, "This work is licensed under CC BY-NC 4.0"))
+    rows.append((5001, "word " * 300 + license_scan.TEMPLATES[2][1]))
+    got = {r.doc_id: set(r.labels.split(",")) - {""} for r in license_scan.scan(docs_frame(spark, rows)).collect()}
+    base = {"gpl", "apache"}
+    for d, (label, kind) in want.items():
+        if kind == "scattered":
+            assert label not in got[d], (label, kind)
+        else:
+            assert label in got[d], (label, kind)
+            # a shorter notice may stand inside a longer one, no other
+            assert got[d] - base <= {x for x, t in license_scan.TEMPLATES if t.rstrip(".").lower()[:40] in dict(rows)[d].lower() or x == label or x in ("gpl-short", "apache-short", "bsd-text", "gpl-notice")}, (label, kind, got[d])
+    assert all(not got[d] for d, _ in rows if d not in want and d < 5000)
+    assert "cc-by-nc-short" in got[5000] and "isc-text" in got[5001]
+    part = {r.doc_id: set(r.labels.split(",")) - {""} for r in license_scan.scan(docs_frame(spark, rows), part=7).collect()}
+    assert part == got
+
+
+def test_registered_queries_match_brute_force(spark):
+    """op8, op9 and op10 as registered, over the whole table, against plain loops."""
+    docs = {r.doc_id: r.text for r in queries.documents(spark, SF).collect()}
+    lower = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
+    prints = {}
+    for d, t in docs.items():
+        w = blank_words(lower(t))
+        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 4]).encode(), 42) for i in range(max(1, len(w) - 3))] if w else []
+        prints[d] = sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)) if h else 0
+    group = {d: d for d in docs}
+    for a in sorted(docs):
+        for b in sorted(docs):
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 4 and group[a] != group[b]:
+                low, high = sorted((group[a], group[b]))
+                group = {k: low if v == high else v for k, v in group.items()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in queries.op8_simhash_tiles(spark, SF).collect()}
+    assert got == {d: (f"{prints[d]:016x}", group[d]) for d in docs}
+
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(queries.tokenizer_path())
+    pieces = queries.op9_best_fit_packing(spark, SF).toPandas()
+    for d, own in pieces.groupby("doc_id"):
+        ids, at = [*t.encode(docs[d] or "", add_special_tokens=False).ids, 1], 0
+        for r in own.sort_values("start").itertuples():
+            assert (r.start, r.doc_tokens, r.ids_crc32) == (at, len(ids), zlib.crc32(np.array(ids[at : at + r.length], "<u4").tobytes()))
+            at += r.length
+        assert at == len(ids)
+    assert set(pieces.doc_id) == set(docs)
+    for _, s in pieces.groupby("sequence_id"):
+        s = s.sort_values("offset")
+        assert s.offset.tolist() == [0, *s.length.cumsum().tolist()[:-1]] and s.length.sum() <= 2048
+    assert pieces.length.sum() / (2048 * pieces.sequence_id.nunique()) > 0.97
+
+    found = {r.doc_id: r for r in queries.op10_license_diagonals(spark, SF).collect()}
+    assert set(found) == set(docs)
+    for d, text in docs.items():
+        w, places, labels = alnum_words(text), [], set()
+        for phrase, label in license_scan.PHRASES:
+            p = phrase.split()
+            own = [i for i in range(len(w) - len(p) + 1) if w[i : i + len(p)] == p]
+            places += own
+            labels |= {label} if own else set()
+        r = found[d]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (len(w), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels)))
+        assert labels <= set(r.labels.split(",")) | {""} and 0 <= r.score <= 1
+
+
 def test_language_edges(spark):
     texts = {"aa": "banana bandana cabana " * 30, "bb": "zyxo wuvo tuvwo " * 30}
     rows = [(i, texts["aa" if i % 2 else "bb"]) for i in range(10)] + [(20, None), (21, ""), (22, "123 !!"), (23, "cabana bandana banana " * 900), (23, "cabana bandana banana " * 900), (None, "x")]

@@ -58,6 +58,22 @@ def test_equal_ids_with_other_texts_stay(spark):
     assert sorted((r.doc_id, r.text) for r in kept) == [(1, texts[0]), (1, texts[1])]
 
 
+def test_clashing_columns_and_broken_texts(spark):
+    """Columns named as the operators name theirs come out as they went in, and a text that is no UTF-8 stops nothing."""
+    base = documents(spark, SF).filter("text IS NOT NULL AND lang IS NOT NULL").limit(40)
+    extra = ["_new", "_key", "score", "kept", "rejected", "lang_pred", "key", "row", "first", "covered", "items", "hits"]
+    docs = base.withColumns({c: F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")) for c in extra})
+    bad = docs.limit(1).withColumns({"doc_id": F.lit(7_000_000).cast("long"), "text": F.expr("CAST(X'636166e920ff20776f726473' AS STRING)"), **{c: F.lit(f"{c} of 7000000") for c in extra}})
+    docs = docs.unionByName(bad).cache()
+    columns = docs.columns
+    for name, stage in cp.STAGES[:-1]:
+        docs = stage(spark, docs, SF).cache()
+        assert docs.columns == columns, name
+        for r in docs.drop("text").collect():
+            assert all(r[c] == f"{c} of {r.doc_id}" for c in extra), name
+    assert cp.STAGES[-1][1](spark, docs, SF).count() >= docs.count() > 20
+
+
 def grams(text):
     w = text.lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
