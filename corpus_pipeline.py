@@ -6,47 +6,47 @@ and read again as the next one's docs.  All but the last return the columns of d
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumweave.llm import decontaminate, line_windows, near_copies, packing, zstd_langid
-from sumweave.llm._common import content_key, cut, documents
+from sumweave.llm._common import cut, documents
 from sumweave.llm.queries import held_out, tokenizer_path
+from sumweave.plans import scratch
 
 
-def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """docs with the text (and its length) of ``texts`` (doc_id, key, _new; equal rows share both); others go."""
-    columns = docs.columns
-    own = docs.withColumn("_key", content_key("doc_id", "text"))
-    met = own.join(texts.withColumnRenamed("key", "_key").dropDuplicates(["doc_id", "_key"]), ["doc_id", "_key"])
-    return met.withColumn("text", F.col("_new")).withColumn("n_chars", F.length("text").cast("long")).select(*columns)
+def _with_text(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+    """The columns of ``docs``, carried in ``row``, with another text and its length."""
+    new = F.col(text)
+    own = {"text": new.alias("text"), "n_chars": F.length(new).cast("long").alias("n_chars")}
+    return found.select(*(own.get(c, F.col("row").getField(c).alias(c)) for c in docs.columns))
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or between two languages, go."""
-    found = zstd_langid.identify(docs, zstd_langid.fit(docs.filter(~held_out())))
-    return found.filter(~F.col("rejected")).select(*docs.columns)
+    names = tuple(f"r{i}_{uuid.uuid4().hex}" for i in range(3))  # no document has such a column
+    found = zstd_langid.identify(docs, zstd_langid.fit(docs.filter(~held_out())), names=names)
+    return found.filter(~F.col(names[2])).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later occurrences of three-line windows go; documents of which nothing is left go."""
     found = line_windows.remove_later_windows(docs)
     left = found.filter((F.col("n_removed") == 0) | (F.trim(F.translate("kept", "\n\t\r", "   ")) != ""))
-    return _with_text(docs, left.select("doc_id", "key", F.col("kept").alias("_new")))
+    return _with_text(left, docs, "kept")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word Jaccard of 0.8 or more) one document stays: the smallest doc_id (then text hash), once."""
-    kept = near_copies.near_copies(docs).filter("first").select("doc_id", F.col("key").alias("_key"))
-    own = docs.withColumn("_key", content_key("doc_id", "text"))
-    return own.join(kept, ["doc_id", "_key"], "left_semi").dropDuplicates(["doc_id", "_key"]).select(*docs.columns)
+    return near_copies.keep_first(docs, near_copies.near_copies(docs)).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Contaminated documents go; from others the words of benchmark windows go."""
     found = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    left = found.filter(~F.col("contaminated"))
-    return _with_text(docs, left.select("doc_id", "key", F.col("cleaned").alias("_new")))
+    return _with_text(found.filter(~F.col("contaminated")), docs, "cleaned")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,9 +70,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stage's intermediate tables go once its output is written, and that once the next one's is."""
     docs = documents(spark, sf_dir)
+    before = scratch.held(spark)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
+            made = scratch.held(spark)
             docs = cut(docs, f"pipeline-{name}")
+            scratch.remove(spark, made - before)
     return docs
