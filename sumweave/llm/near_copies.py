@@ -23,9 +23,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import content_key, cut, frugal, word_bounds
+from ._common import content_key, cut, frugal
 from .components import components
-from .simhash_tiles import fingerprint, link
+from .simhash_tiles import link, majority, shingle_hashes
 
 #: Odd multipliers of the 64 minima.
 _FACTORS = np.random.default_rng(8).integers(0, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -33,14 +33,7 @@ _FACTORS = np.random.default_rng(8).integers(0, 1 << 63, 64, np.uint64) * np.uin
 
 def shingles(text: bytes | None, words: int) -> np.ndarray:
     """Distinct hashes of the word shingles, sorted."""
-    own = (text or b"").lower().split()
-    if not own:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(own)
-    _, starts, ends = word_bounds(joined)
-    width = min(words, len(own))
-    spans = zip(starts[: len(own) - width + 1].tolist(), ends[width - 1 :].tolist())
-    return np.unique(np.array([xxhash.xxh64_intdigest(joined[s:e], 42) for s, e in spans], np.uint64))
+    return np.unique(shingle_hashes((text or b"").lower().split(), words))
 
 
 def sketch(own: np.ndarray) -> int:
@@ -80,11 +73,12 @@ def _marks(docs: DataFrame, words: int, id_col: str, text_col: str) -> DataFrame
 
     def run(batches):
         for b in batches:
-            texts = b.column(2).to_pylist()
-            fp = np.array([fingerprint(t, words) for t in texts], np.uint64)
-            marks = np.array([sketch(shingles(t, words)) for t in texts], np.uint64)
-            node = np.array([xxhash.xxh64_intdigest(b" ".join((t or b"").lower().split()), 7) for t in texts], np.uint64)
-            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(x.view(np.int64)) for x in (fp, marks, node))], names=["doc_id", "key", "fp", "sketch", "node"])
+            rows = np.zeros((3, b.num_rows), np.uint64)
+            for i, t in enumerate(b.column(2).to_pylist()):
+                own = (t or b"").lower().split()
+                h = shingle_hashes(own, words)  # the slow part: once for fingerprint and sketch
+                rows[:, i] = majority(h), sketch(np.unique(h)), xxhash.xxh64_intdigest(b" ".join(own), 7)
+            yield pa.record_batch([b.column(0), b.column(1), *(pa.array(x.view(np.int64)) for x in rows)], names=["doc_id", "key", "fp", "sketch", "node"])
 
     own = docs.filter(F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("doc_id"), content_key(id_col, text_col).alias("key"), F.col(text_col).cast("binary").alias("text")

@@ -31,22 +31,29 @@ TILE = 4096
 _SHINGLES_AT_ONCE = 100_000
 
 
-def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
-    own = (text or b"").lower().split()
+def shingle_hashes(own: list[bytes], words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of every shingle, repeats included."""
     if not own:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(own)
     _, starts, ends = word_bounds(joined)
     width = min(words, len(own))
     starts, ends = starts[: len(own) - width + 1], ends[width - 1 :]
-    ones = np.zeros(64, np.int64)
     hash64 = xxhash.xxh64_intdigest
-    for at in range(0, len(starts), _SHINGLES_AT_ONCE):
-        spans = zip(starts[at : at + _SHINGLES_AT_ONCE].tolist(), ends[at : at + _SHINGLES_AT_ONCE].tolist())
-        h = np.array([hash64(joined[s:e], seed) for s, e in spans], ">u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits(ones * 2 > len(starts))
-    return int.from_bytes(bits.tobytes(), "big")
+    return np.fromiter((hash64(joined[s:e], seed) for s, e in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> int:
+    """64 bits: those set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), _SHINGLES_AT_ONCE):
+        part = h[at : at + _SHINGLES_AT_ONCE].astype(">u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(ones * 2 > len(h)).tobytes(), "big")
+
+
+def fingerprint(text: bytes | None, words: int = 4, seed: int = 42) -> int:
+    return majority(shingle_hashes((text or b"").lower().split(), words, seed))
 
 
 def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
