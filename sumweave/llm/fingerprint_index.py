@@ -11,9 +11,9 @@ run of all its grams of ``gram = window // 2 + 1`` words, and its anchor is the
 least gram hash.  Equal windows have equal anchors, so a window can repeat only
 if its anchor does; about one word in nine starts an anchor, which keeps the index
 and its shuffles far smaller than the text.  Windows with a repeated anchor are
-then verified: 96 bits of the XXH3 hash of the whole window's bytes are counted over all
-documents, and only windows whose own count is above one go (among 10**13 windows, two different ones
-share them with a chance of about 10**-3).
+then verified: 80 bits of the XXH3 hash of the whole window's bytes are counted over all
+documents, and only windows whose own count is above one go.  Among 10**13 different windows some 40 pairs would
+share them by chance; more bits cost disk for every window in question.
 
 Runs are tables in the shared scratch folder.
 
@@ -207,12 +207,12 @@ def remove_repeats(
                     ats.append((pos + at).astype(np.int32))
             if hs:
                 h = np.concatenate(hs)
-                yield pa.record_batch([pa.array(x) for x in (h[:, 0].copy(), h[:, 1].astype(np.int32), np.concatenate(keys), np.concatenate(ats))], names=["h", "g", "key", "at"])
+                yield pa.record_batch([pa.array(x) for x in (h[:, 0].copy(), h[:, 1].astype(np.int16), np.concatenate(keys), np.concatenate(ats))], names=["h", "g", "key", "at"])
 
     def found() -> DataFrame:
         """Hashed again for each use: written, the windows would take about twice the input."""
         held = met.filter(F.col("fps").isNotNull()).select("key", "packed", "fps")
-        return held.mapInArrow(frugal(verify), "h long, g int, key long, at int")
+        return held.mapInArrow(frugal(verify), "h long, g short, key long, at int")
 
     # Written, so that the join has plain exchanges on both sides, whose hot hashes adaptive execution splits.
     twice = cut(found().groupBy("h", "g").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h", "g"), "repeated-windows")
