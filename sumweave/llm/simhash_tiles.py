@@ -7,8 +7,9 @@ into tiles; a tile holds one population count only.  Tile pairs are joined on eq
 near population counts: those that differ beyond the radius are never formed, and a
 pair is also skipped when the quarters' count ranges are further apart.  A pair is
 compared by numpy exclusive-or and bit counts, all against all, and answers with a
-spanning forest of its links, never with the links themselves, so large groups stay
-linear.  Components come from ``components``.
+spanning forest of its links, never with the links themselves.  A tile is compared with
+itself when it is cut, and carries the groups found; two tiles then answer with one link
+for two groups at most, so large groups stay linear.  Components come from ``components``.
 
 Edges: null and blank texts have no shingle and fingerprint zero, which links like any
 other; fewer words than a shingle are one shingle; repeated rows are copies; rows with
@@ -74,13 +75,14 @@ def _quarters(fp: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count((fp >> np.uint64(s)) & np.uint64(0xFFFF)) for s in (0, 16, 32, 48)], 1).astype(np.int64)
 
 
-def tile_links(a: np.ndarray, b: np.ndarray, radius: int, sketches: tuple | None = None) -> list[tuple[int, int]]:
+def tile_links(a: np.ndarray, b: np.ndarray, radius: int, sketches: tuple | None = None, group: np.ndarray | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links between two tiles (positions in a, in b); a is b for a tile with itself.
 
     sketches: 64 more bits of a's and b's rows and how many of them may differ.
+    group: labels of a's rows, then b's, that are connected already; they are joined on the way.
     """
     shift = 0 if a is b else len(a)
-    group = np.arange(shift + len(b))
+    group = np.arange(shift + len(b)) if group is None else group
     out = []
     for at in range(0, len(a), 64):
         near = np.bitwise_count(a[at : at + 64, None] ^ b[None, :]) <= radius
@@ -107,6 +109,8 @@ def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, per_slice: int
     number asks for; a pair of slices is one key, so common counts are compared by many tasks of
     bounded size, and a tile is repeated once for each slice that it meets.
     """
+    if tile > 1 << 16:
+        raise ValueError("a tile's groups are numbers of 16 bits")
     marks = [] if sketch_radius is None else ["node", "sketch"]
     keyed = vertices.withColumn("ones", F.bit_count("fp").cast("int"))
     quarters = [F.bit_count(F.shiftrightunsigned("fp", s).bitwiseAND(F.lit(0xFFFF))) for s in (0, 16, 32, 48)]
@@ -125,9 +129,13 @@ def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, per_slice: int
                 fp = part["fp"].to_numpy(np.int64)
                 q = _quarters(fp.view(np.uint64))
                 more = [part[c].to_numpy(np.int64) for c in marks]
-                name = int(more[0][0] if more else fp[0])
-                rows.append((int(part["ones"].iloc[0]), name, fp.tobytes(), q.min(0).tolist(), q.max(0).tolist(), *(m.tobytes() for m in more)))
-            return pd.DataFrame(rows, columns=["ones", "tile", "fps", "low", "high", *marks])
+                nodes, group, own = more[0] if more else fp, np.arange(len(fp)), fp.view(np.uint64)
+                sketches = (*[more[1].view(np.uint64)] * 2, sketch_radius) if more else None
+                found = tile_links(own, own, radius, sketches, group)
+                a, b = (nodes[[x[k] for x in found]].tolist() if found else [] for k in (0, 1))
+                bits = (fp.tobytes(), group.astype(np.uint16).tobytes())
+                rows.append((int(part["ones"].iloc[0]), int(nodes[0]), *bits, q.min(0).tolist(), q.max(0).tolist(), a, b, *(m.tobytes() for m in more)))
+            return pd.DataFrame(rows, columns=["ones", "tile", "fps", "grp", "low", "high", "a", "b", *marks])
 
         for frame in frames:
             held.append(frame)
@@ -145,12 +153,10 @@ def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, per_slice: int
         if len(have):
             yield packed(have)
 
-    tiles = cut(
-        dealt.select("ones", "fp", *marks).mapInPandas(
-            frugal(cut_tiles), "ones int, tile long, fps binary, low array<int>, high array<int>" + "".join(f", {c} binary" for c in marks)
-        ),
-        "simhash-tiles",
-    )
+    schema = "ones int, tile long, fps binary, grp binary, low array<int>, high array<int>, a array<long>, b array<long>"
+    made = cut(dealt.select("ones", "fp", *marks).mapInPandas(frugal(cut_tiles), schema + "".join(f", {c} binary" for c in marks)), "simhash-tiles")
+    within = made.select(F.explode(F.arrays_zip("a", "b")).alias("x")).select("x.a", "x.b")
+    tiles = made.drop("a", "b")
     # A row for each population count: at most 65.
     counts = tiles.groupBy("ones").agg(F.ceil(F.count(F.lit(1)) / per_slice).alias("slices"))
     theirs = lambda name: F.broadcast(counts.select(F.col("ones").alias(name), F.col("slices").alias(f"{name}_slices")))
@@ -169,7 +175,7 @@ def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, per_slice: int
         lambda s, x: s + x,
     )
     pairs = left.join(right, ["ones_a", "ones", "slice_a", "slice"]).filter(
-        ((F.col("ones") > F.col("ones_a")) | (F.col("tile") >= F.col("tile_a"))) & (apart <= radius)
+        ((F.col("ones") > F.col("ones_a")) | (F.col("tile") > F.col("tile_a"))) & (apart <= radius)
     )
 
     def compare(batches):
@@ -177,14 +183,13 @@ def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, per_slice: int
             xs, ys = [], []
             columns = {n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)}
             for k in range(b.num_rows):
-                fa = np.frombuffer(columns["fps_a"][k], np.uint64)
-                same = columns["ones_a"][k] == columns["ones"][k] and columns["tile_a"][k] == columns["tile"][k]
-                fb = fa if same else np.frombuffer(columns["fps"][k], np.uint64)
+                fa, fb = (np.frombuffer(columns[c][k], np.uint64) for c in ("fps_a", "fps"))
+                ga, gb = (np.frombuffer(columns[c][k], np.uint16).astype(np.int64) for c in ("grp_a", "grp"))
                 na, nb, more = fa, fb, None
                 if marks:
                     na, sa, nb, sb = (np.frombuffer(columns[c][k], np.uint64) for c in ("node_a", "sketch_a", "node", "sketch"))
                     more = (sa, sb, sketch_radius)
-                found = tile_links(fa, fb, radius, more)
+                found = tile_links(fa, fb, radius, more, np.concatenate([ga, gb + len(fa)]))
                 if found:
                     i, j = (np.array(x) for x in zip(*found))
                     xs.append(na[i].view(np.int64))
@@ -193,7 +198,8 @@ def link(vertices: DataFrame, radius: int = 4, tile: int = TILE, per_slice: int
                 yield pa.record_batch([pa.array(np.concatenate(xs)), pa.array(np.concatenate(ys))], names=["a", "b"])
 
     more = [c + end for end in ("_a", "") for c in marks]
-    return pairs.select("ones_a", "tile_a", "fps_a", "ones", "tile", "fps", *more).mapInArrow(frugal(compare), "a long, b long")
+    across = pairs.select("fps_a", "grp_a", "fps", "grp", *more).mapInArrow(frugal(compare), "a long, b long")
+    return within.unionByName(across)
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -203,6 +203,16 @@ def test_tiles_lose_no_link(spark, tile):
     assert {f: root(f) for f in fps} == {f: root2(f) for f in fps}
 
 
+def test_links_of_a_large_group_stay_few(spark):
+    rng = np.random.default_rng(6)
+    base = int(rng.integers(0, 2**62))
+    fps = sorted({base ^ (1 << int(i)) ^ (1 << int(j)) for i, j in rng.integers(0, 62, (450, 2))})
+    links = simhash_tiles.link(spark.createDataFrame([(f,) for f in fps], "fp long"), 4, 16, per_slice=2).collect()
+    assert len(links) < 4 * len(fps)  # a forest for each pair of tiles would be some 20,000
+    found = simhash_tiles.components(spark.createDataFrame(links, "a long, b long")).collect()
+    assert len(found) == len(fps) and len({r.component for r in found}) == 1
+
+
 def test_components(spark):
     links = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (5, 5), (20, 1)] + [(i, i + 1) for i in range(100, 140)] + [(500, 600 + i) for i in range(50)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
