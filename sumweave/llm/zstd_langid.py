@@ -44,8 +44,11 @@ def fit(labelled: DataFrame, per_language: int = 96, max_languages: int = 200, i
     marks = own.select(F.xxhash64(text_col).alias("h"), F.col(lang_col).alias("lang"))
     if marks.select("lang").distinct().limit(max_languages + 1).count() > max_languages:
         raise ValueError(f"{lang_col} has more than {max_languages} values")
-    order = Window.partitionBy("lang").orderBy("h")
-    picked = marks.distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language).select("h", "lang")
+    # A common language is first ranked in 32 shares of its partitions: no task gets the candidates of all of them.
+    picked = marks.distinct().withColumn("share", F.spark_partition_id() % 32)
+    for by in (["lang", "share"], ["lang"]):
+        picked = picked.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("h"))).filter(F.col("k") <= per_language).drop("k")
+    picked = picked.select("h", "lang")
     texts = own.select(F.xxhash64(text_col).alias("h"), F.col(lang_col).alias("lang"), F.col(text_col).cast("binary").alias("text"))
     by_lang: dict[str, set[str]] = {}
     # At most per_language * max_languages hashes: the texts stay where they are.
