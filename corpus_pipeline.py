@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sumweave.llm import decontaminate, line_windows, near_copies, packing, zstd_langid
-from sumweave.llm._common import cut, documents
+from sumweave.llm._common import cut, documents, small_batches
 from sumweave.llm.queries import held_out, tokenizer_path
 from sumweave.plans import scratch
 
@@ -26,6 +26,7 @@ def _with_text(found: DataFrame, docs: DataFrame, text: str) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or between two languages, go."""
+    small_batches(spark)
     names = tuple(f"r{i}_{uuid.uuid4().hex}" for i in range(3))  # no document has such a column
     found = zstd_langid.identify(docs, zstd_langid.fit(docs.filter(~held_out())), names=names)
     return found.filter(~F.col(names[2])).select(*docs.columns)
@@ -40,6 +41,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates (five-word Jaccard of 0.8 or more) one document stays: the smallest doc_id (then text hash), once."""
+    small_batches(spark)
     return near_copies.keep_first(docs, near_copies.near_copies(docs)).select(*docs.columns)
 
 
@@ -54,6 +56,7 @@ def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Groups are smaller than those of pieces without ids, as a task holds a group: at most 64 MB of ids.
     """
+    small_batches(spark)
     return packing.pack(packing.pieces(docs, tokenizer_path(), with_ids=True), group=8_000)
 
 

@@ -30,6 +30,10 @@ ALNUM_TABLE = bytes(
 )
 
 
+#: Bytes of rows that go to a Python task at once.
+BATCH = 4 << 20
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -58,6 +62,18 @@ def frugal(run):
     return wrapped
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's rows go to Python tasks in batches of ``BATCH`` bytes at most, or fewer if it says so.
+
+    Batches are made when a frame is run, so this holds for the session.  Spark's own bound is 64 MB: each task then
+    holds such a batch twice, in Python and outside the heap in buffers that grow by doubling, and much of it isn't given back.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key))
+    if not 0 < now <= BATCH:
+        spark.conf.set(key, str(BATCH))
+
+
 def fixed(df: DataFrame, **columns) -> DataFrame:
     """``df`` with columns that are computed once a row.
 

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from ._common import cut, frugal, texts_of
 
 #: Words whose ids a task keeps at most.
-CACHE = 500_000
+CACHE = 250_000
 #: Words of a text handled at once.
 PART = 100_000
 
@@ -216,7 +216,7 @@ def pack(found: DataFrame, window: int = 2048, group: int = 50_000) -> DataFrame
             first = (table.column("__task")[0].as_py() << 43) + (number << 19)
             sequence, offset = best_fit_decreasing(table.column("length").to_numpy(), window)
             out = table.drop_columns(["__task"]).append_column("sequence_id", pa.array(sequence + first)).append_column("offset", pa.array(offset))
-            return out.combine_chunks().to_batches()
+            return out.to_batches()  # as they came: no copy of a group, no batch of its size
 
         for b in batches:
             for at in range(0, b.num_rows, group):

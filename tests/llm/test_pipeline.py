@@ -2,9 +2,10 @@
 
 import corpus_pipeline as cp
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from sumweave.llm import near_copies, packing
+from sumweave.llm import _common, near_copies, packing
 from sumweave.llm.queries import documents, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -119,3 +120,24 @@ def test_empty(spark):
     for _, stage in cp.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.filter(F.lit(True)).count() == 0
+
+
+def test_batches_to_python_are_bounded(spark):
+    """A task's memory doesn't grow with the texts: 15 MB of them reach Python in several batches."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch([pa.array([b.nbytes])], names=["n"])
+
+    docs = spark.range(0, 3000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    spark.conf.unset(key)
+    try:
+        packed = cp.pack_sequences(spark, docs, "")
+        assert docs.mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] < 5 << 20
+        assert packed.agg(F.sum("length")).first()[0] == 3000 * 1001
+        spark.conf.set(key, "1m")
+        _common.small_batches(spark)
+        assert spark.conf.get(key) == "1m"  # a session that asks for less gets that
+    finally:
+        spark.conf.unset(key)
