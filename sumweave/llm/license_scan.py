@@ -1,7 +1,7 @@
 """License scans by diagonal voting.
 
-All rolling word k-grams of all documents are hashed and joined with the positions of the
-templates' k-grams (a bounded table, broadcast).  A document's matches with a template are
+All rolling word k-grams of all documents are hashed; those whose hash is one of the
+templates' leave the Python task and are joined with the positions of the templates' k-grams (a bounded table, broadcast).  A document's matches with a template are
 counted by diagonal (document position minus template position); neighbouring diagonals,
 which small edits leave, merge; the merged spans are verified word by word against the
 template.  A label is given where a verified span covers enough of its template and little else: a group of
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ALNUM_TABLE, content_key, frugal, PrefixHash, word_bounds
+from ._common import ALNUM_TABLE, content_key, frugal, PrefixHash, small_batches, word_bounds
 
 #: Phrases of the contract (fixed values): words and label.
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
@@ -149,6 +149,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, min_
     spans: label, start, end (words) and cover of every verified span.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     grams = template_grams(templates, k)
     wanted = np.unique(np.array([g[0] for g in grams], np.int64))
     index = spark.createDataFrame([*grams] or [], "h long, template int, place int")
@@ -159,7 +160,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, min_
     schema = f"key long, at int, h long, doc_id {kind}, n_words long, places array<int>, base array<string>, text binary"
 
     def run(batches):
-        """One row for each document (h null), with its text only where a k-gram is a template's, and one for each k-gram."""
+        """One row for each document (h null), with its text only where a k-gram is a template's, and one for each such k-gram."""
         hasher = PrefixHash()
         for b in batches:
             doc_type = b.column(0).type
@@ -173,11 +174,13 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, k: int = K, min_
                     for at in range(0, max(0, len(words) - k + 1), part):
                         data, starts, ends = word_bounds(b" ".join(words[at : at + part + k - 1]))
                         h = hasher.ranges(data, starts[: len(starts) - k + 1], ends[k - 1 :]).view(np.int64)
-                        met = met or bool(np.isin(h, wanted).any())
-                        owners.append(pa.repeat(pa.scalar(doc, doc_type), len(h)))
-                        keys.append(np.full(len(h), key, np.int64))
-                        ats.append(np.arange(at, at + len(h), dtype=np.int32))
-                        hs.append(h)
+                        own_at = np.flatnonzero(np.isin(h, wanted))  # the join would drop all others
+                        if len(own_at):
+                            met = True
+                            owners.append(pa.repeat(pa.scalar(doc, doc_type), len(own_at)))
+                            keys.append(np.full(len(own_at), key, np.int64))
+                            ats.append((at + own_at).astype(np.int32))
+                            hs.append(h[own_at])
                     heads.append((key, None, None, doc, len(words), places, sorted(labels), text if met else None))
                 types = (pa.int64(), pa.int32(), pa.int64(), doc_type, pa.int64(), pa.list_(pa.int32()), pa.list_(pa.string()), pa.binary())
                 names = ["key", "at", "h", "doc_id", "n_words", "places", "base", "text"]

@@ -484,6 +484,25 @@ def test_license_labels_of_planted_notices(spark):
     assert part == got
 
 
+def test_license_grams_of_no_template_stay_in_python(spark, monkeypatch):
+    """What leaves the tasks grows with the matches, not with the words."""
+    out, plain = spark.sparkContext.accumulator(0), license_scan.frugal
+
+    def counted(run):
+        def wrapped(batches):
+            for b in run(batches):
+                out.add(len(b))
+                yield b
+
+        return plain(wrapped)
+
+    monkeypatch.setattr(license_scan, "frugal", counted)
+    rows = [(i, " ".join(f"w{i}x{j}" for j in range(500))) for i in range(40)] + [(40, "a b " + license_scan.TEMPLATES[0][1] + " c d")]
+    got = {r["doc_id"]: r for r in license_scan.scan(docs_frame(spark, rows)).collect()}
+    assert len(got) == 41 and "mit-text" in got[40]["labels"] and not any(got[i]["labels"] for i in range(40))
+    assert out.value < 1000  # some 20,000 with all k-grams
+
+
 def test_registered_queries_match_brute_force(spark):
     """op8, op9 and op10 as registered, over the whole table, against plain loops."""
     docs = {r.doc_id: r.text for r in queries.documents(spark, SF).collect()}
