@@ -1,9 +1,9 @@
 """Regression and classification trees from aggregates.
 
-Candidate splits of all nodes of one level come from one pass over the join: each row counts
-for every feature, by its value or by its threshold bin, in one aggregation by (node, feature,
-value or bin).  Only that small table is read for the splits: each bin adds to the
-thresholds above it.
+Candidate splits of all nodes of one level come from one aggregation by (node, feature, value or
+bin): each row counts for every feature, by its value or by its threshold bin.  Only that small table
+is read for the splits: each bin adds to the thresholds above it.  A tree is grown from one pass over
+the join, whatever its depth: rows that no split can tell apart are summed (``cells``), and all levels read these sums.
 
 Nulls: rows without a label are left out; a null feature is on the right side of every split of it
 (and no split of its own).
@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.schema import JoinTree
+from ..plans.scratch import cut, held, release
 
 _OPS = {"<=": lambda c, v: c <= v, ">": lambda c, v: c > v, "==": lambda c, v: c == v, "!=": lambda c, v: c != v}
 
@@ -58,7 +59,7 @@ def _histograms(df: DataFrame, thresholds: dict[str, list], categorical: list[st
     none, text = F.lit(None).cast("int"), F.lit(None).cast("string")
     keys = [F.struct(F.lit(i).alias("ord"), _bins(c, t).cast("int").alias("bin"), text.alias("value")) for i, (c, t) in enumerate(thresholds.items())]
     keys += [F.struct(F.lit(len(thresholds) + i).alias("ord"), none.alias("bin"), F.col(c).cast("string").alias("value")) for i, c in enumerate(categorical)]
-    own = [F.col(c).alias(c[2:]) for c in df.columns if c in ("__node", "__y")]  # no attribute's name
+    own = [F.col(c).alias(c[2:]) for c in df.columns if c in ("__node", "__y", "__n", "__s", "__q")]  # no attribute's name
     return df.select(*own, F.explode(F.array(*keys)).alias("k")).groupBy("node", "k.ord", "k.bin", "k.value", *by).agg(*sums)
 
 
@@ -88,14 +89,41 @@ def _sse(n, s, q):
     return q - s * s / n
 
 
+def _rows(df: DataFrame, label: str, classify: bool) -> DataFrame:
+    """Each row that has a label as a cell of its own."""
+    own = df.withColumn("__y", F.col(label).cast("string" if classify else "double")).filter("__y IS NOT NULL").withColumn("__n", F.lit(1).cast("long"))
+    return own if classify else own.withColumns({"__s": F.col("__y"), "__q": F.col("__y") * F.col("__y")}).drop("__y")
+
+
+def cells(tree: JoinTree, label: str, thresholds: dict[str, list], categorical: list[str], classify: bool = False) -> DataFrame:
+    """The join, read once, with the rows that no split can tell apart as one; written to the shared folder.
+
+    The features under their names, __rows, __n (those of them with a label) and __s, __q (sums of the label and its square)
+    or __y (the class, one of what tells rows apart).  A continuous feature has its least value in the bin: no threshold lies between that
+    and another of the bin, so conditions hold for the cell as for its rows (null and beyond the last are one bin, on the right of all).
+    As many cells as combinations of bins and values at most, and never more than rows.
+    """
+    df = tree.join(list(dict.fromkeys([label, *thresholds, *categorical])), nested=True)
+    y = F.col(label).cast("string" if classify else "double")
+    continuous = [c for c in thresholds if c not in categorical]
+    bins = {f"__bin{i}": _bins(c, sorted(thresholds[c])) for i, c in enumerate(continuous)}
+    own = df.select(*categorical, *(F.col(c).alias(f"__x{i}") for i, c in enumerate(continuous)), *(b.alias(k) for k, b in bins.items()), y.alias("__y"))
+    sums = [F.count(F.lit(1)).alias("__rows"), F.count("__y").alias("__n"), *(F.min(f"__x{i}").alias(c) for i, c in enumerate(continuous))]
+    if not classify:
+        sums += [F.sum("__y").alias("__s"), F.sum(F.col("__y") * F.col("__y")).alias("__q")]
+    return cut(own.groupBy(*categorical, *bins, *(["__y"] if classify else [])).agg(*sums).drop(*bins), "tree-cells")
+
+
 def regression_candidates(df: DataFrame, label: str, thresholds: dict[str, list], categorical: list[str]) -> DataFrame:
     """node, ord, feature, categorical, split (text), n_left, n_right, cost, pred_left, pred_right.
 
     cost: sum of squared errors of both sides; infinite (null here) if a side is empty.
     """
-    y = F.col("y")
-    own = df.withColumn("__y", F.col(label).cast("double")).filter("__y IS NOT NULL")
-    h = _histograms(own, thresholds, categorical, [], [F.count(F.lit(1)).alias("n"), F.sum(y).alias("s"), F.sum(y * y).alias("q")])
+    return _regression(_rows(df, label, False), thresholds, categorical)
+
+
+def _regression(own: DataFrame, thresholds: dict[str, list], categorical: list[str]) -> DataFrame:
+    h = _histograms(own, thresholds, categorical, [], [F.sum(c).alias(c) for c in "nsq"])
     out = _splits(h, thresholds, categorical, [], "nsq")
     if categorical:
         whole = Window.partitionBy("node", "ord")  # a row a value or threshold
@@ -116,8 +144,11 @@ def regression_candidates(df: DataFrame, label: str, thresholds: dict[str, list]
 
 def classification_candidates(df: DataFrame, label: str, thresholds: dict[str, list], categorical: list[str]) -> DataFrame:
     """As above with weighted Gini cost and majority classes (ties: the smaller class)."""
-    own = df.withColumn("__y", F.col(label).cast("string")).filter("__y IS NOT NULL")
-    h = _histograms(own, thresholds, categorical, ["y"], [F.count(F.lit(1)).alias("n")])
+    return _classification(_rows(df, label, True), thresholds, categorical)
+
+
+def _classification(own: DataFrame, thresholds: dict[str, list], categorical: list[str]) -> DataFrame:
+    h = _histograms(own, thresholds, categorical, ["y"], [F.sum("n").alias("n")])
     each = _splits(h, thresholds, categorical, ["y"], "n")
     own = F.collect_list(F.struct("y", F.col("ln").alias("l"), (F.col("tn") - F.col("ln")).alias("r")))
     if not categorical:
@@ -169,18 +200,24 @@ class Node:
     right: Node | None = None
 
 
-def grow(tree: JoinTree, label: str, thresholds: dict[str, list], categorical: list[str], depth: int = 3, min_rows: int = 1, classify: bool = False) -> Node | None:
-    """A tree grown level by level: one pass over the join for all nodes of a level; None for an empty join.
+def grow(tree: JoinTree, label: str, thresholds: dict[str, list], categorical: list[str], depth: int = 3, min_rows: int = 1, classify: bool = False, made: DataFrame | None = None) -> Node | None:
+    """A tree grown level by level, all from one pass over the join; None for an empty join.
 
-    The driver keeps the nodes (at most 2**depth) and the best split of each.
+    The driver keeps the nodes (at most 2**depth) and the best split of each.  made: the join's ``cells``, where they are there already.
     """
+    if made is None:
+        spark = tree.frame(tree.root).sparkSession
+        before = held(spark)
+        try:
+            return grow(tree, label, thresholds, categorical, depth, min_rows, classify, cells(tree, label, thresholds, categorical, classify))
+        finally:
+            release(spark, before)
     features = [*thresholds, *categorical]
-    base = tree.join(list(dict.fromkeys([label, *features]))).filter(F.col(label).isNotNull())
-    y = F.col(label)
+    base = made.filter("__n > 0")
     if classify:
-        top = base.groupBy(y.cast("string").alias("y")).agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("k"), "y"))["y"].alias("p")).first()
+        top = base.groupBy(F.col("__y").alias("y")).agg(F.sum("__n").alias("n")).agg(F.sum("n").alias("n"), F.min(F.struct((-F.col("n")).alias("k"), "y"))["y"].alias("p")).first()
     else:
-        top = base.agg(F.count(F.lit(1)).alias("n"), F.avg(y.cast("double")).alias("p")).first()
+        top = base.agg(F.sum("__n").alias("n"), (F.sum("__s") / F.sum("__n")).alias("p")).first()
     if not top["n"]:
         return None
     root = Node(1, top["n"], top["p"])
@@ -190,7 +227,7 @@ def grow(tree: JoinTree, label: str, thresholds: dict[str, list], categorical: l
         if not frontier or not features:
             break
         level = base.withColumn("__node", _leaf(root, {n.id for n in frontier})).filter("__node > 0")
-        found = (classification_candidates if classify else regression_candidates)(level, label, thresholds, categorical)
+        found = (_classification if classify else _regression)(level, thresholds, categorical)
         order = F.struct(F.round("cost", 9), "ord", F.when(F.col("categorical"), 0.0).otherwise(F.expr("try_cast(split AS double)")), "split")
         best = found.filter(f"cost IS NOT NULL AND n_left >= {min_rows} AND n_right >= {min_rows}").groupBy("node").agg(F.min_by(F.struct("*"), order).alias("b")).select("b.*").collect()
         by_id, frontier = {n.id: n for n in frontier}, []
@@ -214,6 +251,13 @@ def _leaf(node: Node, wanted: set[int]) -> Column:
     return F.when(node.condition.column(), _leaf(node.left, wanted)).otherwise(_leaf(node.right, wanted))
 
 
+def leaf(node: Node) -> Column:
+    """The id of the row's leaf, also where leaves have one prediction."""
+    if node.condition is None:
+        return F.lit(node.id)
+    return F.when(node.condition.column(), leaf(node.left)).otherwise(leaf(node.right))
+
+
 def prediction(node: Node) -> Column:
     if node.condition is None:
         return F.lit(node.prediction)

@@ -136,20 +136,35 @@ class JoinTree:
             raise ValueError(f"relation {relation!r} has no data")
         return own.df.select(*own.columns)
 
-    def join(self, columns: list[str] | None = None) -> DataFrame:
-        """The natural join, with the columns asked for; each relation is pruned first."""
+    def join(self, columns: list[str] | None = None, nested: bool = False) -> DataFrame:
+        """The natural join, with the columns asked for; each relation is pruned first.
+
+        nested: a subtree of keys (``unique``) is joined to its top before the top meets its parent.  It has no more rows than
+        its top, and the root's rows move only by keys of their own.  Small tables may be shuffled that would else be
+        broadcast, as Spark knows no size of a join before it has run.
+        """
         wanted = set(self.columns() if columns is None else columns)
         kept = self.kept(wanted)
         keys = {c for name, parent in kept if parent for c in self.shared(name, parent)}
-        out = None
-        for name, parent in kept:
+        done: set[str] = set()
+
+        def add(out: DataFrame | None, name: str, parent: str | None) -> DataFrame:
             df = self.frame(name)
             df = df.select(*(c for c in df.columns if c in wanted or c in keys))
+            done.add(name)
+            if nested and parent is not None and all(r in self.unique for r in self._below(name, parent)):
+                for n, p in kept:
+                    if p == name:
+                        df = add(df, n, p)
             if out is None:
-                out = df
-            else:
-                on = self.shared(name, parent)
-                out = out.join(df, on) if on else out.join(df)  # relations without a common name: all pairs, as natural joins have it
+                return df
+            on = self.shared(name, parent)
+            return out.join(df, on) if on else out.join(df)  # relations without a common name: all pairs, as natural joins have it
+
+        out = None
+        for name, parent in kept:
+            if name not in done:
+                out = add(out, name, parent)
         return out if columns is None else out.select(*columns)
 
     def with_attribute(self, relation: str, name: str, column, type: str = "int") -> JoinTree:

@@ -359,10 +359,12 @@ def _grown_sql(depth: int = 3) -> str:
 
 @query(_grown_sql())
 def tree_fit_predict(spark, sf_dir):
+    """Rows of one cell have one prediction, so the predictions are counted over cells: the join runs once."""
     tree = star(spark, sf_dir)
-    model = trees.grow(tree, "totalprice", _TH, _RT_CAT, depth=3)
-    df = tree.join(["totalprice", *_TH, *_RT_CAT])
-    found = df.groupBy(trees.prediction(model).alias("prediction")).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("totalprice").cast("double")).alias("mean"))
+    made = trees.cells(tree, "totalprice", _TH, _RT_CAT)
+    model = trees.grow(tree, "totalprice", _TH, _RT_CAT, depth=3, made=made)
+    leaf, told = (trees.leaf(model), trees.prediction(model)) if model else (F.lit(1), F.lit(None).cast("double"))
+    found = made.groupBy(leaf.alias("leaf"), told.alias("prediction")).agg(F.sum("__rows").alias("n"), F.try_divide(F.sum("__s"), F.sum("__n")).alias("mean"))
     return found.select(F.round("prediction", 4).alias("prediction"), "n", F.round("mean", 4).alias("mean"))
 
 

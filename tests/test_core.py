@@ -276,6 +276,23 @@ def test_declared_keys_leave_relations_out(spark):
     assert n == few.join(["quantity", "n_name"]).count()
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_nested_joins_have_the_same_rows(spark, seed):
+    tree = random_tree(spark, random.Random(seed), True)
+    tree.unique = frozenset(list(tree.relations)[seed % 2 :]) - {tree.root}
+    rows = lambda nested: sorted(map(str, tree.join(tree.columns(), nested).collect()))
+    assert rows(True) == rows(False)
+
+
+def test_cells_move_the_fact_table_by_keys_of_its_own(spark):
+    """Orders meet customers before lines meet orders, so no line is shuffled by a customer's key."""
+    from sumweave.plans.testdata import star
+
+    columns = ["quantity", "totalprice", "mktsegment", "p_size"]
+    with_both = lambda nested: [x for x in str(star(spark, "/root/testdata/sf0.001").join(columns, nested)._jdf.queryExecution().optimizedPlan()).split("\n") if "custkey" in x and "quantity" in x]
+    assert with_both(False) and not with_both(True)
+
+
 def test_grow_fits_a_step(spark):
     rows = [(float(x), "ab"[x % 2], 10.0 * (x > 5) + (x % 2)) for x in range(12)]
     tree = JoinTree({"r": Relation("r", ["x", "c", "y"], spark.createDataFrame(rows, "x double, c string, y double"))}, [])
@@ -285,6 +302,53 @@ def test_grow_fits_a_step(spark):
     assert top.n == 12 and trees.evaluate(top, tree.join(["x", "c", "y"]), "c", True) < 0.5
 
 
+@pytest.mark.parametrize("classify", [False, True])
+def test_grow_reads_the_join_once(spark, classify):
+    """Whatever the depth: its levels and the predictions come from cells, as those of single rows do."""
+    from sumweave.plans import scratch
+
+    rng = random.Random(7)
+    rows = [(rng.choice([None, float("nan"), *range(12)]), rng.choice([None, 1, 5, 9]), rng.choice(["a", "b", "c", None]), rng.choice([None, 1.0, 2.0, 5.0, 5.0])) for _ in range(400)]
+    rows = [(x if x is None else float(x), *r) for x, *r in rows]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    df = spark.createDataFrame(rows, "x double, k long, c string, y double")
+    tree = JoinTree({"r": Relation("r", ["x", "k", "c", "y"], df.mapInPandas(counted, df.schema))}, [])
+    th, before = {"x": [2.0, 5.0, 8.0], "k": [1, 5]}, scratch.held(spark)
+    top = trees.grow(tree, "y", th, ["c"], depth=3, classify=classify)
+    assert read.value == len(rows) and scratch.held(spark) == before
+    made = trees.cells(tree, "y", th, ["c"], classify)
+    assert read.value == 2 * len(rows)
+    by_row = df.groupBy(trees.leaf(top).alias("leaf")).agg(F.count(F.lit(1)).alias("rows"), F.count("y").alias("n")).sort("leaf").collect()
+    by_cell = made.groupBy(trees.leaf(top).alias("leaf")).agg(F.sum("__rows").alias("rows"), F.sum("__n").alias("n")).sort("leaf").collect()
+    assert by_row == by_cell and len(by_row) > 4 and sum(r.rows for r in by_row) == len(rows) and made.count() < len(rows)
+
+    def nodes(n):
+        return [n] if n.condition is None else [*nodes(n.left), *nodes(n.right)]
+
+    assert {n.id: n.n for n in nodes(top)} == {r.leaf: r.n for r in by_row}
+    again = trees.grow(tree, "y", th, ["c"], depth=3, classify=classify, made=made)
+    assert again == top and read.value == 2 * len(rows)
+
+
+@pytest.mark.parametrize("orders", ["SELECT *", "SELECT * REPLACE (7.0::DOUBLE AS o_totalprice)", None])
+def test_predictions_of_a_tree_from_cells(spark, tmp_path, orders):
+    """One join for the tree and its predictions; leaves with equal predictions stay apart, an empty join has none."""
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in "lineitem orders customer nation region part supplier".split():
+        own = f"{orders or 'SELECT *'} FROM '{sf}/{t}.parquet'{'' if orders else ' LIMIT 0'}" if t == "orders" else f"FROM '{sf}/{t}.parquet'"
+        con.execute(f"COPY ({own}) TO '{tmp_path}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    got = QUERIES["tree_fit_predict"](spark, str(tmp_path))
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, got.select("prediction", "n", "mean").collect())) == sorted(con.execute(SQL["tree_fit_predict"]).fetchall())
+
+
 def test_command_line(example, tmp_path, spark, capsys, monkeypatch):
     path, tree = example
     monkeypatch.setattr(spark.__class__, "stop", lambda self: None)
